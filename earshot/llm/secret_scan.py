@@ -1,0 +1,181 @@
+"""Secret scans: fixed patterns and sliding-window entropy.
+
+Candidate strings are runs of key-like characters. Over each run of a character
+class a window slides, its Shannon entropy kept by incremental counts; windows at
+or above the class's threshold join into a span, unless the candidate is on the
+allow-list. Spans are in code points, end exclusive.
+
+Defined results: a null text counts as empty and has no spans; very long texts
+are scanned whole, in one pass; repeated rows and null ids are scanned row by
+row; an empty table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import pick
+
+# The base patterns. Only ASCII letters match in either case.
+ASSIGN = re.compile(
+    r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE
+)
+ASSIGN_WORDS = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+
+
+@dataclass(frozen=True)
+class EntropyClass:
+    """Runs of one character class: window length, threshold in bits, and what a window must hold."""
+
+    kind: str
+    run: str
+    window: int
+    bits: float
+    needs: tuple[str, ...]
+
+
+# Classes and allow-list.
+CLASSES = (
+    EntropyClass("entropy_hex", r"[0-9a-fA-F]{20,}", 20, 3.0, ("0123456789", "abcdefABCDEF")),
+    EntropyClass(
+        "entropy_base64",
+        r"[A-Za-z0-9+/_-]{20,}",
+        20,
+        3.7,
+        ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ),
+)
+ALLOWED = (
+    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # a UUID
+    r".*(EXAMPLE|example|placeholder|changeme).*",
+    r".*(0123456789|abcdefghij|ABCDEFGHIJ).*",  # alphabets written out
+    r"(sha1|sha256|sha384|sha512|md5)-.*",  # published digests
+)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
+
+
+def hot_windows(run: str, size: int, bits: float, needs: Sequence[str]) -> list[tuple[int, int]]:
+    """Joined windows of ``run`` with at least ``bits`` of entropy and a character of each of ``needs``."""
+    if len(run) < size:
+        return []
+    terms = [0.0, *(c * math.log2(c) for c in range(1, size + 1))]
+    group = {c: k for k, chars in enumerate(needs) for c in chars}
+    counts: dict[str, int] = {}
+    held = [0] * len(needs)
+    total, top = 0.0, math.log2(size)
+    most = (top - bits) * size + 1e-9
+    found: list[tuple[int, int]] = []
+    for i, c in enumerate(run):
+        n = counts.get(c, 0)
+        total += terms[n + 1] - terms[n]
+        counts[c] = n + 1
+        if c in group:
+            held[group[c]] += 1
+        if i >= size:
+            old = run[i - size]
+            n = counts[old]
+            total += terms[n - 1] - terms[n]
+            counts[old] = n - 1
+            if old in group:
+                held[group[old]] -= 1
+        if i >= size - 1 and total <= most and all(held):
+            start = i - size + 1
+            if found and start <= found[-1][1]:
+                found[-1] = (found[-1][0], i + 1)
+            else:
+                found.append((start, i + 1))
+    return found
+
+
+class Scanner:
+    def __init__(self, classes: Sequence[EntropyClass], allowed: Sequence[str]):
+        self.classes = [(c, re.compile(c.run)) for c in classes]
+        self.allowed = re.compile("|".join(f"(?:{a})" for a in allowed) or r"(?!)", re.DOTALL)
+        self.order = {k: i for i, k in enumerate(("assign", "access", "hex", *(c.kind for c in classes)))}
+
+    def base(self, text: str) -> list[tuple[int, str, int]]:
+        spans = []
+        if ASSIGN_WORDS.search(text):
+            spans += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        if "AKIA" in text:
+            spans += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+        spans += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
+        return self.sorted(spans)
+
+    def entropy(self, text: str) -> list[tuple[int, str, int]]:
+        spans = []
+        for m in CANDIDATE.finditer(text):
+            if self.allowed.fullmatch(m[0]):
+                continue
+            for kind, run in self.classes:
+                for r in run.finditer(m[0]):
+                    at = m.start() + r.start()
+                    hot = hot_windows(r[0], kind.window, kind.bits, kind.needs)
+                    spans += [(at + a, kind.kind, at + b) for a, b in hot]
+        return spans
+
+    def sorted(self, spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+        return sorted(spans, key=lambda s: (s[0], self.order[s[1]], s[2]))
+
+    def row(self, text: str | None) -> list[tuple[str, int, int, bool]]:
+        text = text or ""
+        base = self.base(text)
+        own = self.entropy(text)
+        return [(k, a, b, k in KINDS[:3]) for a, k, b in self.sorted(base + own)]
+
+
+SPANS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("kind", T.StringType()),
+            T.StructField("start", T.LongType()),
+            T.StructField("end", T.LongType()),
+            T.StructField("base", T.BooleanType()),
+        ]
+    )
+)
+
+
+def find_secrets(
+    docs: DataFrame,
+    classes: Sequence[EntropyClass] = CLASSES,
+    allowed: Sequence[str] = ALLOWED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, secrets) of every row: an array of (kind, start, end, base) in order of start, then kind."""
+
+    @F.pandas_udf(SPANS)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = Scanner(classes, allowed)
+        for texts in batches:
+            rows = [scanner.row(t) for t in texts]
+            yield pd.Series([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in r] for r in rows])
+
+    return pick(docs, id_col, text_col).select(id_col, scan(text_col).alias("secrets"))
+
+
+def secret_digest(docs: DataFrame) -> DataFrame:
+    """Counts of base kinds, the digest of base spans and all spans as text, per document."""
+    found = find_secrets(docs)
+    told = "concat_ws(':', s.kind, s.start, s.end)"
+    count = lambda kind: F.expr(f"cast(size(filter(secrets, s -> s.kind = '{kind}')) as bigint)")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(F.expr(f"array_join(transform(filter(secrets, s -> s.base), s -> {told}), ',')"), 256).alias("base_sha256"),
+        F.expr(f"array_join(transform(secrets, s -> {told}), ',')").alias("spans"),
+    )
