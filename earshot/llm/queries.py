@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .license_scan import license_labels
 from .mixing import mix_sources
 from .quality import quality_verdicts
 from .secret_scan import secret_digest
+from .simhash import simhash_groups
 from .token_count import token_counts
 
 
@@ -22,6 +24,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -33,6 +43,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_secret_scan": op4_secret_scan,
+    "op6_license_scan": op6_license_scan,
+    "op8_simhash_groups": op8_simhash_groups,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
 }
