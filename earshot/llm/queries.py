@@ -12,6 +12,7 @@ from .license_scan import license_labels
 from .mixing import mix_sources
 from .quality import quality_verdicts
 from .secret_scan import secret_digest
+from .sharding import shard_documents
 from .simhash import simhash_groups
 from .token_count import token_counts
 
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,
     "op6_license_scan": op6_license_scan,
     "op8_simhash_groups": op8_simhash_groups,
