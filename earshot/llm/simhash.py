@@ -115,15 +115,18 @@ def anchors(fingerprints: np.ndarray, blocks: int, threshold: int) -> tuple[np.n
     return rows, anchor, spent == 0
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row, fp a signed long."""
-
+def _fingerprint(shingle: int):
     @F.pandas_udf(T.LongType())
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
 
-    return pick(docs, id_col, text_col).select(id_col, fingerprint(text_col).alias("fp"))
+    return fingerprint
+
+
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp) of every row, fp a signed long."""
+    return pick(docs, id_col, text_col).select(id_col, _fingerprint(shingle)(text_col).alias("fp"))
 
 
 def near_links(nodes: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame:
@@ -161,3 +164,32 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     found = simhash_components(docs)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+def without_near_copies(
+    docs: DataFrame, shingle: int = 5, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row, with all its columns, of each component of near copies.
+
+    The row with the smallest id stays, a null id counting as the largest. Ids and
+    text hashes of the rows that stay are joined to the rows; the texts are
+    shuffled once.
+    """
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    flat = docs.toDF(*places)
+    at_id, at_text = places[docs.columns.index(id_col)], places[docs.columns.index(text_col)]
+    hashed = F.xxhash64(at_text).alias("hash")
+    prints = flat.select(F.col(at_id).alias("id"), hashed, _fingerprint(shingle)(at_text).alias("fp"))
+    prints = stored(prints, "simhash")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
+    nodes = cut(prints.groupBy("fp").agg(F.min(order).alias("least")))
+    labels = components(near_links(nodes.select("fp"), threshold))
+    marked = nodes.join(labels, F.col("fp") == F.col("node"), "left")
+    stay = marked.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("least").alias("least"))
+    stay = stored(stay.select(F.col("least.id").alias("s_id"), F.col("least.hash").alias("s_hash")), "stay")
+    same = F.col(at_id).eqNullSafe(F.col("s_id")) & (F.xxhash64(at_text) == F.col("s_hash"))
+    left = flat.join(stay, same, "left_semi")
+    twice = prints.groupBy("id", "hash").count().where("count > 1")
+    if not twice.isEmpty():  # rows that share id and text; one of them stays
+        left = left.dropDuplicates([at_id, at_text])
+    return left.toDF(*docs.columns)
