@@ -13,6 +13,7 @@ from .license_scan import license_labels
 from .line_dedup import LINE_SQL, line_digest
 from .mixing import mix_sources
 from .quality import quality_verdicts
+from .repeats import repeat_digest
 from .secret_scan import secret_digest
 from .sharding import shard_documents
 from .simhash import simhash_groups
@@ -43,6 +44,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_license_scan": op6_license_scan,
+    "op7_repeated_strings": op7_repeated_strings,
     "op8_simhash_groups": op8_simhash_groups,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
