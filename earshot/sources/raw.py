@@ -19,7 +19,8 @@ def read_raw(spark: SparkSession, path: str, kind: str, header: bool | None = No
     Only user tables come with a header, unless ``header`` says otherwise.
     """
     schema = T.StructType([*raw_schema(kind).fields, T.StructField(BROKEN, T.StringType())])
-    rows = spark.read.csv(
+    # a row is broken by its fields, whichever columns are asked for
+    rows = spark.read.options(columnPruning=False).csv(
         path,
         schema=schema,
         sep="\t",
@@ -30,7 +31,9 @@ def read_raw(spark: SparkSession, path: str, kind: str, header: bool | None = No
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=BROKEN,
     )
-    return blank_missing(rows.where(F.col(BROKEN).isNull()).drop(BROKEN), missing)
+    # the parser wants another column beside the broken row's; every text has a length
+    whole = F.col(BROKEN).isNull() & (F.length(F.coalesce(schema[0].name, F.lit(""))) >= 0)
+    return blank_missing(rows.where(whole).drop(BROKEN), missing)
 
 
 def blank_missing(raw: DataFrame, missing: Sequence[str] = MISSING) -> DataFrame:
@@ -80,7 +83,7 @@ def genre_dictionary(genres: DataFrame, sentinel: int | None = None, name: str =
 def read_genre_dictionary(spark: SparkSession, path: str, sentinel: int = 20) -> DataFrame:
     """A file of one genre name per line, small enough to number by line position."""
     lines = spark.read.text(path, wholetext=True)
-    named = lines.select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("genre_id", "genre_name"))
+    named = lines.select(F.posexplode(F.split(F.regexp_replace("value", "[\r\n]+$", ""), "\r?\n")).alias("genre_id", "genre_name"))
     return genre_dictionary(named, sentinel)
 
 
