@@ -69,7 +69,7 @@ def hot_windows(run: str, size: int, bits: float, needs: Sequence[str]) -> list[
     """Joined windows of ``run`` with at least ``bits`` of entropy and a character of each of ``needs``."""
     if len(run) < size:
         return []
-    terms = [0.0, *(c * math.log2(c) for c in range(1, size + 1))]
+    terms = [0.0, *(c * math.log2(c) for c in range(1, size + 2))]  # a window holds one more before it moves on
     group = {c: k for k, chars in enumerate(needs) for c in chars}
     counts: dict[str, int] = {}
     held = [0] * len(needs)

@@ -2,13 +2,14 @@
 
 Documents that share a hub (here: an equal text; in general any (id, hub) table)
 are linked. From an even start, rounds of joins move linked documents towards the
-shard that most of their hubs' members are in, as far as its quota has room, best
-gains first; a hub larger than a shard so fills one shard after the other. A last
+shard that most of their hubs' members are in, as far as its quota has room or
+others leave it, best gains first; a hub larger than a shard so fills one shard
+after the other. A last
 pass makes the sizes exact, moving unlinked documents where there are any: the law
 is ``rows``, shard counts at most one apart, and documents are numbered from 0 in
 each shard.
 
-What reaches the driver is counted per shard and gain class: no links, no groups.
+What reaches the driver is counted per pair of shards and gain class: no links, no groups.
 
 Defined results: null texts have size 1 and are linked with one another (and
 apart from empty texts); repeated rows are documents of their own; an empty table
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick, stored, utf8
 
-ROUNDS = 6
+ROUNDS = 8
 BLOCK_ROWS = 4096  # rows numbered by one window partition
 TICKETS = 1 << 20
 
@@ -37,8 +38,8 @@ def _hashed(*columns: Column | str, seed: int) -> Column:
 def _wishes(placed: DataFrame, links: DataFrame, open_shards: list[int], shards: int) -> DataFrame:
     """(node, shard, goal, class): where the hubs of a node pull it, if elsewhere.
 
-    Only open shards are goals. Members of a hub break ties alike, so that they
-    do not swap places for ever. ``class`` is the gain's power of two.
+    Only open shards are goals, and they win ties against shut ones. Members of a hub
+    break ties alike, so that they do not swap places for ever. ``class`` is the gain's power of two.
     """
     at = [F.sum(F.when(F.col("shard") == s, 1).otherwise(0)).alias(f"n{s}") for s in range(shards)]
     hubs = links.join(placed, "node").groupBy("hub").agg(*at)
@@ -48,7 +49,12 @@ def _wishes(placed: DataFrame, links: DataFrame, open_shards: list[int], shards:
     ranks = [
         F.when(
             F.lit(s in open_shards) | (F.col("shard") == s),
-            F.struct(F.col(f"n{s}").alias("pull"), _hashed("first", F.lit(s), seed=3).alias("tie"), F.lit(s).alias("goal")),
+            F.struct(
+                F.col(f"n{s}").alias("pull"),
+                F.lit(s in open_shards).alias("open"),
+                _hashed("first", F.lit(s), seed=3).alias("tie"),
+                F.lit(s).alias("goal"),
+            ),
         )
         for s in range(shards)
     ]
@@ -61,38 +67,56 @@ def _wishes(placed: DataFrame, links: DataFrame, open_shards: list[int], shards:
     return wished.where("best.goal != shard").select("node", "draw", "shard", F.col("best.goal").alias("goal"), kind.alias("class"))
 
 
-def _quotas(wanted: list[tuple[int, int, int]], room: list[int]) -> list[tuple[int, int, int]]:
-    """(goal, class, tickets) that fill each goal's room, best classes first.
+def _quotas(wanted: list[tuple[int, int, int, int]], room: list[int]) -> list[tuple[int, int, int, int]]:
+    """(shard, goal, class, tickets): the share of each kind of wish that may move.
 
-    ``wanted`` counts the moves wished for, per goal and class of gain.
+    ``wanted`` counts wishes per shard, goal and class of gain. A goal takes in as
+    much as it has room and gives away itself; the least gains are turned down
+    first, until that holds for all.
     """
-    left, out = list(room), []
-    for goal, kind, n in sorted(wanted, key=lambda w: (w[0], -w[1])):
-        go = min(n, left[goal])
-        left[goal] -= go
-        if go:
-            out.append((goal, kind, go * TICKETS // n))
-    return out
+    moves = {(a, b, kind): n for a, b, kind, n in wanted}
+    while True:
+        into, out = [0] * len(room), [0] * len(room)
+        for (a, b, _), n in moves.items():
+            into[b] += n
+            out[a] += n
+        over = {g: into[g] - room[g] - out[g] for g in range(len(room)) if into[g] > room[g] + out[g]}
+        if not over:
+            break
+        for a, b, kind in sorted(moves, key=lambda m: m[2]):
+            cut = min(moves[a, b, kind], over.get(b, 0))
+            if cut:
+                moves[a, b, kind] -= cut
+                over[b] -= cut
+    asked = {(a, b, kind): n for a, b, kind, n in wanted}
+    return [(*m, n * TICKETS // asked[m]) for m, n in moves.items() if n]
 
 
 def propagate(placed: DataFrame, links: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
     """(node, draw, shard) of the linked nodes after at most ``rounds`` rounds.
 
-    A node's ticket comes from its draw; of a class that fits in part, the tickets
-    below its share move. A round without moves ends it.
+    A node's ticket comes from its draw; of wishes that fit in part, the tickets
+    below their share move. A goal that can take nothing in is no goal until it has
+    room again. A round without wishes ends it.
     """
     spark = placed.sparkSession
+    shut: set[int] = set()
     for turn in range(rounds):
         held = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
         room = [max(0, capacity - held.get(s, 0)) for s in range(shards)]
-        wishes = cut(_wishes(placed, links, [s for s in range(shards) if room[s]], shards))
-        wanted = wishes.groupBy("goal", "class").count().collect()  # at most 64 classes a shard
-        quotas = _quotas([tuple(r) for r in wanted], room)
-        if not quotas:
+        shut = {s for s in shut if not room[s]}
+        wishes = cut(_wishes(placed, links, [s for s in range(shards) if s not in shut], shards))
+        counted = wishes.groupBy("shard", "goal", "class").count().collect()  # at most 64 classes a pair of shards
+        wanted = [tuple(r) for r in counted]
+        if not wanted:
             break
-        table = F.broadcast(spark.createDataFrame(quotas, "goal int, class int, tickets long"))
+        quotas = _quotas(wanted, room)
+        shut |= {w[1] for w in wanted} - {q[1] for q in quotas}
+        if not quotas:
+            continue
+        table = F.broadcast(spark.createDataFrame(quotas, "shard int, goal int, class int, tickets long"))
         ticket = F.pmod(_hashed("draw", seed=11 + turn), F.lit(TICKETS))
-        moves = wishes.join(table, ["goal", "class"]).where(ticket < F.col("tickets"))
+        moves = wishes.join(table, ["shard", "goal", "class"]).where(ticket < F.col("tickets"))
         moves = moves.select("node", F.col("goal").alias("moved"))
         placed = cut(
             placed.join(moves, "node", "left").select("node", "draw", F.coalesce("moved", "shard").alias("shard"))
@@ -103,22 +127,26 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int, capacity: int, r
 def _numbered(rows: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
     """Add ``slot``, gapless from 0 in each shard in ``order``, and give the shards' counts.
 
-    Rows fall into blocks by their order hash; block counts, a few bytes per
-    ``BLOCK_ROWS`` rows, are summed up, and rows are ordered inside blocks only.
+    Rows fall into blocks by their order; a block that equal orders make large is
+    cut again by the rows' draws. Counts of blocks, a few bytes per ``BLOCK_ROWS``
+    rows, are summed up, and rows are ordered inside blocks only.
     """
     total = rows.count()
     blocks = max(1, total // shards // BLOCK_ROWS)
     block = F.floor(F.col("order") / (float(1 << 63) / blocks))
     rows = rows.withColumn("block", F.least(block, F.lit(blocks - 1)).cast("int"))
-    counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("order", "node")) - 1
-    # the numbering inside a block and the block's start meet on the same key
-    slots = rows.withColumn("inside", inside).join(starts.drop("n"), ["shard", "block"])
-    slots = slots.withColumn("slot", (F.col("inside") + F.col("start")).cast("long"))
-    held = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    return slots.drop("block", "inside", "start"), [held.get(s, 0) for s in range(shards)]
+    sizes = cut(rows.groupBy("shard", "block").agg(F.count("*").alias("n")))
+    cuts = F.when(F.col("n") > 4 * BLOCK_ROWS, F.ceil(F.col("n") / BLOCK_ROWS)).otherwise(F.lit(1))
+    rows = rows.join(sizes, ["shard", "block"]).withColumn("part", F.pmod(_hashed("draw", seed=4), cuts).cast("int"))
+    key = ["shard", "block", "part"]
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("order", "draw", "node")) - 1
+    slots = rows.drop("n").withColumn("inside", inside).join(starts.drop("n"), key)
+    slots = slots.select("node", "shard", (F.col("inside") + F.col("start")).cast("long").alias("slot"))
+    held = {r["shard"]: r["n"] for r in starts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    return slots, [held.get(s, 0) for s in range(shards)]
 
 
 def exact_rows(placed: DataFrame, shards: int) -> DataFrame:
@@ -163,9 +191,13 @@ def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = 16, rounds
     linked = cut(placed.join(links.select("node").distinct(), "node"))
     moved = propagate(linked, links, shards, nodes.count() // shards, rounds)
     moved = moved.select("node", F.col("shard").alias("moved"))
-    # linked nodes first in a shard's order: what overflows is unlinked, as far as it goes
-    order = F.shiftright("draw", 1) + F.when(F.col("moved").isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
-    rows = placed.join(moved, "node", "left").select("node", order.alias("order"), F.coalesce("moved", "shard").alias("shard"))
+    # a shard's order: linked nodes first, hub by hub. What overflows is unlinked as far as
+    # that goes, and otherwise whole hubs
+    first = links.groupBy("node").agg(F.min(_hashed("hub", seed=2)).alias("first"))
+    linked_order = F.shiftright("first", 1)
+    order = F.coalesce(linked_order, F.shiftright("draw", 1) + F.lit(1 << 62))
+    rows = placed.join(moved, "node", "left").join(first, "node", "left")
+    rows = rows.select("node", "draw", order.alias("order"), F.coalesce("moved", "shard").alias("shard"))
     return exact_rows(cut(rows), shards)
 
 
