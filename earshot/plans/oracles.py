@@ -60,6 +60,7 @@ CTES |= {
     "artist_plays": "select a.artist_id, count(e.artist_id) as plays from (select distinct artist_id from artist_t) a "
     "left join le_t e on a.artist_id = e.artist_id group by a.artist_id",
     "cutoff_1": "select round_even(avg(plays) + 1.0 * stddev_pop(plays), 0) as cutoff from artist_plays",
+    "good_popular": "select artist_id from good_artists intersect select artist_id from popular",
     "popular": "select artist_id, plays from artist_plays where plays > (select cutoff from cutoff_1)",
 }
 for kind in ("user", "artist", "album", "track"):

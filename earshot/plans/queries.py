@@ -532,8 +532,9 @@ def subset_events(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "clean_events_popular",
-    "select * from le_t where artist_id in (select artist_id from good_artists intersect select artist_id from popular) "
-    "and album_id in (select album_id from album_c) and track_id in (select track_id from track_c)",
+    "select * from le_t where artist_id in (select artist_id from good_popular) "
+    "and album_id in (select album_id from album_n where artist_id in (select artist_id from good_popular)) "
+    "and track_id in (select track_id from track_n where artist_id in (select artist_id from good_popular))",
 )
 def clean_events_popular(spark: SparkSession, d: str) -> DataFrame:
     return clean_all(_tables(spark, d), popular_sigmas=1.0)["le"]
