@@ -102,17 +102,41 @@ ANCHORS = T.StructType(
         T.StructField("at", T.IntegerType()),
         T.StructField("gram", T.LongType()),
         T.StructField("bytes", T.BinaryType()),
+        T.StructField("times", T.IntegerType()),
     ]
 )
 
 
+def within_text(anchors: Iterator[tuple[int, int, int, int, bytes]]) -> list[tuple]:
+    """One row, with its number of times, for all equal anchors of a text.
+
+    What a text itself repeats is settled here: such windows come as rows of no
+    times, runs of neighbours joined, so that periodic texts give few rows.
+    """
+    places: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+    for lo, hi, at, gram, digest in anchors:
+        places.setdefault((gram, digest), []).append((lo, hi, at))
+    rows = []
+    for (gram, digest), found in places.items():
+        rows.append((*found[0], gram, digest, len(found)))
+        if len(found) > 1:
+            first, last = found[0][:2]
+            for lo, hi, _ in found[1:]:
+                if lo > last + 1:
+                    rows.append((first, last, 0, 0, b"", 0))
+                    first = lo
+                last = hi
+            rows.append((first, last, 0, 0, b"", 0))
+    return rows
+
+
 def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, hashes, rows = [], [], []
         for doc, digest, text in zip(batch["d_id"], batch["d_hash"], batch["d_text"], strict=True):
             raw = (text or "").encode()
             if len(raw) >= LENGTH:
-                found = list(text_anchors(raw))
+                found = within_text(text_anchors(raw))
                 rows += found
                 ids += [doc] * len(found)
                 hashes += [digest] * len(found)
@@ -295,17 +319,19 @@ def _wide(schema: T.StructType, id_type: T.DataType) -> T.StructType:
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(d_id, d_hash, s, t): byte spans of rows (d_id, d_hash, d_text) that repeats cover."""
     id_type = rows.schema["d_id"].dataType
-    anchors = stored(rows.mapInPandas(_find_anchors, _wide(ANCHORS, id_type)), "anchors")
+    found = stored(rows.mapInPandas(_find_anchors, _wide(ANCHORS, id_type)), "anchors")
+    anchors = found.where("times > 0")
     # anchors that stand twice, and whether with different bytes around
-    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("bytes").alias("a"), F.max("bytes").alias("b"))
+    grams = anchors.groupBy("gram").agg(F.sum("times").alias("n"), F.min("bytes").alias("a"), F.max("bytes").alias("b"))
     grams = stored(grams.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("differs")), "grams")
     shared = stored(anchors.join(grams, "gram"), "shared")
     first = F.struct("d_id", "d_hash", "lo", "hi", "at")
-    kinds = shared.groupBy("gram", "bytes").agg(F.count("*").alias("n"), F.max("differs").alias("differs"), F.min(first).alias("rep"))
+    kinds = shared.groupBy("gram", "bytes").agg(F.sum("times").alias("n"), F.max("differs").alias("differs"), F.min(first).alias("rep"))
     kinds = stored(kinds, "kinds")
     equal = kinds.where("n > 1").select("gram", "bytes")
     spans = shared.join(equal, ["gram", "bytes"]).select("d_id", "d_hash", "lo", (F.col("hi") + LENGTH).alias("t"))
-    spans = spans.withColumnRenamed("lo", "s")
+    own = found.where("times = 0").select("d_id", "d_hash", "lo", (F.col("hi") + LENGTH).alias("t"))
+    spans = spans.union(own).withColumnRenamed("lo", "s")
     reps = kinds.where("differs").select("rep.*", "gram", (F.col("n") > 1).alias("done"))
     told = reps.groupBy(F.col("d_id").alias("r_id"), F.col("d_hash").alias("r_hash")).agg(
         F.collect_list(F.struct("lo", "hi", "at", "gram", "done")).alias("reps")
@@ -329,8 +355,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     large = stored(wholes.where("differs").groupBy(*key).count().where(F.col("count") > GROUP_ROWS).select(*key), "large")
     small = rest.join(large, key, "left_anti")
     by_group = small.repartition(*key).sortWithinPartitions(*key)
-    found = by_group.mapInPandas(_sort_groups(id_type.simpleString()), _wide(SPANS, id_type))
-    spans = spans.unionByName(found)
+    decided = by_group.mapInPandas(_sort_groups(id_type.simpleString()), _wide(SPANS, id_type))
+    spans = spans.unionByName(decided)
     windows = stored(rest.join(large, key, "left_semi").mapInPandas(_each_window, _wide(WINDOWS, id_type)), "windows")
     twice = stored(windows.groupBy("window").count().where("count > 1").select("window"), "twice")
     single = windows.where(~F.col("done")).join(twice, "window")
