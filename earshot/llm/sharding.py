@@ -42,7 +42,7 @@ def _wishes(placed: DataFrame, links: DataFrame, open_shards: list[int], shards:
     break ties alike, so that they do not swap places for ever. ``class`` is the gain's power of two.
     """
     at = [F.sum(F.when(F.col("shard") == s, 1).otherwise(0)).alias(f"n{s}") for s in range(shards)]
-    hubs = links.join(placed, "node").groupBy("hub").agg(*at)
+    hubs = cut(links.join(placed, "node").groupBy("hub").agg(*at))  # so that a hot hub's join can be split
     pulls = links.join(hubs, "hub").groupBy("node").agg(
         F.min("hub").alias("first"), *[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)]
     )
