@@ -15,7 +15,6 @@ LOOPS = {
     "album": ("listened_to_album", "album_listened_by"),
     "artist": ("listened_to_artist", "in_genre", "is_genre_of", "artist_listened_by"),
 }
-CUT_STEPS = 8  # steps between lineage cuts
 
 
 def metapath(node_types: Sequence[str]) -> list[str]:
@@ -58,7 +57,8 @@ def walks(
 
     ``starts`` has node_id. Step i follows relation i modulo the path's length to a
     neighbour drawn by walk and step; a walk without neighbours ends. ``cut``
-    (DataFrame -> DataFrame) shortens the lineage every CUT_STEPS steps.
+    (DataFrame -> DataFrame) writes the neighbours and each step once; without it
+    every step is computed again for the ones after it.
     """
     check_chain(path)
     copies = F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("copy")
@@ -73,7 +73,7 @@ def walks(
         pick = F.pmod(draw(F.col("walk_id"), F.lit(step), seed=seed), F.col("degree"))
         asked = at.join(degrees, "node_id").select("walk_id", F.col("node_id").alias("src"), pick.alias("rank"))
         at = asked.join(tables[relation].select("src", "rank", "dst"), ["src", "rank"]).select("walk_id", F.col("dst").alias("node_id"))
-        if cut is not None and step % CUT_STEPS == 0:
+        if cut is not None:
             at = cut(at)
         out = out.union(at.select("walk_id", F.lit(step).alias("step"), F.lit(RELATIONS[relation][1]).alias("node_type"), "node_id"))
     return out

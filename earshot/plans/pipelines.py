@@ -44,6 +44,7 @@ def clean_all(tables: Tables, users: DataFrame | None = None, popular_sigmas: fl
     if popular_sigmas is not None:
         plays = popularity(tables["artist"], tables["le"])
         good = C.keep_ids(good, popular_artists(plays, popular_sigmas), "artist_id")
+    good = staged(good, "good-artists")  # read by every table below
     kept = {k: C.keep_ids(d, good, "artist_id") for k, d in (("artist", artists), ("album", albums), ("track", tracks))}
     keys = {"artist_id": good, "album_id": kept["album"].select("album_id"), "track_id": kept["track"].select("track_id")}
     if users is not None:

@@ -433,7 +433,7 @@ def _starts(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
 @register("metapath_walks", "select walk_id, step, node_type, node_id from walk_steps")
 def metapath_walks(spark: SparkSession, d: str) -> DataFrame:
     graph, starts = _starts(spark, d)
-    return walks.walks(starts, graph.edges, walks.metapath(["artist"]), O.WALK_LENGTH, O.WALKS)
+    return walks.walks(starts, graph.edges, walks.metapath(["artist"]), O.WALK_LENGTH, O.WALKS, cut=lambda df: staged(df, "walk"))
 
 
 @register(
@@ -485,7 +485,7 @@ def sgns_step(spark: SparkSession, d: str) -> DataFrame:
 
 @register("node_embeddings")
 def node_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return embed_graph(_starts(spark, d)[0], dim=4, length=4, window=3, per_node=1, negatives=2, rate=0.5, epochs=2)
+    return embed_graph(_starts(spark, d)[0], dim=4, length=4, window=3, per_node=1, negatives=2, rate=0.5, epochs=2, cut=lambda df: staged(df, "walk"))
 
 
 # Encoders
