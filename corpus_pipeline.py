@@ -16,7 +16,7 @@ from earshot.llm.decontaminate import without_leaks
 from earshot.llm.mixing import mixed_corpus
 from earshot.llm.quality import keep_good
 from earshot.llm.sharding import shard_documents
-from earshot.llm.simhash import without_near_copies
+from earshot.llm.near_copies import without_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from .common import cut, pick, stored
 from .graph import components
+from .near_copies import without_near_copies  # noqa: F401
 
 SEED = 42
 CHUNK = 1 << 16  # hashes whose bits are spread out at once
@@ -41,8 +42,8 @@ CHUNK = 1 << 16  # hashes whose bits are spread out at once
 LENGTH, RADIUS, GENERATOR = 23, 3, 0b101011100011
 
 
-def simhash(text: str | None, shingle: int, once: bool = False) -> int:
-    """Fingerprint of one text, as a signed 64-bit integer; with ``once`` each shingle counts once."""
+def simhash(text: str | None, shingle: int) -> int:
+    """Fingerprint of one text, as a signed 64-bit integer."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
@@ -51,7 +52,7 @@ def simhash(text: str | None, shingle: int, once: bool = False) -> int:
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in (set(grams) if once else grams)], dtype="<u8")
+    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -115,11 +116,11 @@ def anchors(fingerprints: np.ndarray, blocks: int, threshold: int) -> tuple[np.n
     return rows, anchor, spent == 0
 
 
-def _fingerprint(shingle: int, once: bool = False):
+def _fingerprint(shingle: int):
     @F.pandas_udf(T.LongType())
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([simhash(t, shingle, once) for t in texts], dtype="int64")
+            yield pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
 
     return fingerprint
 
@@ -164,47 +165,3 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     found = simhash_components(docs)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
-
-
-def _one_of_each(rows: DataFrame, column: str, threshold: int) -> DataFrame:
-    """The first row of each component of near fingerprints in ``column``; a null id comes last."""
-    rest = [c for c in rows.columns if c not in ("id", "hash", column)]
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash", *rest)
-    nodes = cut(rows.groupBy(F.col(column).alias("fp")).agg(F.min(order).alias("least")))
-    labels = components(near_links(nodes.select("fp"), threshold))
-    marked = nodes.join(labels, F.col("fp") == F.col("node"), "left")
-    first = marked.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("least").alias("least"))
-    return first.select("least.id", "least.hash", *[f"least.{c}" for c in rest])
-
-
-def without_near_copies(
-    docs: DataFrame, shingle: int = 3, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row, with all its columns, of each group of near copies.
-
-    Two fingerprints a text, one of its shingles and one of its distinct words,
-    which a few edits move less: of each component of the first the row with the
-    smallest id stays, and of each component of the second among those. Ids and
-    text hashes of the rows that stay are joined to the rows; the texts are
-    shuffled once.
-    """
-    places = [f"c{i}" for i in range(len(docs.columns))]
-    flat = docs.toDF(*places)
-    at_id, at_text = places[docs.columns.index(id_col)], places[docs.columns.index(text_col)]
-    prints = stored(
-        flat.select(
-            F.col(at_id).alias("id"),
-            F.xxhash64(at_text).alias("hash"),
-            _fingerprint(shingle)(at_text).alias("shingles"),
-            _fingerprint(1, once=True)(at_text).alias("words"),
-        ),
-        "simhash",
-    )
-    stay = _one_of_each(_one_of_each(prints, "shingles", threshold), "words", threshold)
-    stay = stored(stay.toDF("s_id", "s_hash"), "stay")
-    same = F.col(at_id).eqNullSafe(F.col("s_id")) & (F.xxhash64(at_text) == F.col("s_hash"))
-    left = flat.join(stay, same, "left_semi")
-    twice = prints.groupBy("id", "hash").count().where("count > 1")
-    if not twice.isEmpty():  # rows that share id and text; one of them stays
-        left = left.dropDuplicates([at_id, at_text])
-    return left.toDF(*docs.columns)
