@@ -35,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them."""
-    return mixed_corpus(docs)
+    """Documents stand, whole, as often as the mix takes them."""
+    return mixed_corpus(docs, whole=True)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

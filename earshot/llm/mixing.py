@@ -4,8 +4,10 @@ Each source gets a word target: the weights share out a multiple of all words,
 no source above a multiple of its own. A source first gives complete epochs, then
 a fractional selection: every document draws an exponential key scaled by its
 quality weight, documents are taken in key order and the prefix sum of their
-words is cut at the rest of the target. The document on the cut gives its first
-words only, so each source meets its target to the word.
+words is cut at the rest of the target. As a count of words (``mix_sources``) the
+document on the cut gives part of its words, so each source meets its target to
+the word. As a corpus of whole documents it is taken or left, whichever ends nearer
+the target; no text is changed.
 
 The order within a source is never sorted in one task: keys fall in buckets of
 about ``BUCKET_ROWS`` rows, sums per bucket find the one bucket that holds the
@@ -74,10 +76,11 @@ def _beside(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
 
 
 def plan_mix(keyed: DataFrame, weights: Sequence[float], share: float, most: float) -> list[tuple]:
-    """(source, source_size, target, epochs, cut_key, cut_part) of each source.
+    """(source, source_size, target, epochs, cut_key, cut_part, cut_rows, cut_all) of each source.
 
     ``keyed`` has m_source, m_size and m_key. Rows with a key below ``cut_key``
-    are taken whole once more, those on it give ``cut_part`` words.
+    are taken whole once more, those on it give ``cut_part`` words each or, of
+    whole documents, ``cut_rows`` of these ``cut_all`` rows are taken.
     """
     totals = keyed.groupBy("m_source").agg(
         F.sum("m_size").alias("size"), F.count("*").alias("rows"), F.avg("m_key").alias("mean")
@@ -114,18 +117,40 @@ def plan_mix(keyed: DataFrame, weights: Sequence[float], share: float, most: flo
         "cut_bucket long, rest long",
     ).where(F.col("bucket") == F.col("cut_bucket"))
     by_key = inside.groupBy("m_source", "m_key", "rest").agg(F.sum("m_size").alias("words"), F.count("*").alias("n"))
-    keys = {r.m_source: (r.m_key, (r.rest - r.start) // r.n) for r in crossing(by_key, "m_key").collect()}
+    keys = {
+        r.m_source: (r.m_key, (r.rest - r.start) // r.n, (2 * (r.rest - r.start) * r.n + r.words) // (2 * r.words), r.n)
+        for r in crossing(by_key, "m_key").collect()
+    }
     return [
-        (r.m_source, size, target, e, *keys.get(r.m_source, (-1.0, 0)))
+        (r.m_source, size, target, e, *keys.get(r.m_source, (-1.0, 0, 0, 0)))
         for r, size, target, e in zip(found, sizes, targets, epochs, strict=True)
     ]
 
 
+PLAN = "source_size long, target double, epochs long, cut_key double, cut_part long, cut_rows long, cut_all long"
+
+
 def _taken(rows: DataFrame, plan: list[tuple]) -> DataFrame:
-    schema = "source_size long, target double, epochs long, cut_key double, cut_part long"
     part = F.when(F.col("m_key") < F.col("cut_key"), F.col("m_size"))
     part = part.when(F.col("m_key") == F.col("cut_key"), F.col("cut_part")).otherwise(F.lit(0))
-    return _beside(rows, plan, schema).withColumn("taken", F.col("epochs") * F.col("m_size") + part)
+    return _beside(rows, plan, PLAN).withColumn("taken", F.col("epochs") * F.col("m_size") + part)
+
+
+def _whole(rows: DataFrame, plan: list[tuple], places: Sequence[str]) -> DataFrame:
+    """``rows`` with ``copies``, the times each is taken whole; rows on a cut that are equal become one."""
+    some = [p[0] for p in plan if 0 < p[-2] < p[-1]]  # sources that take part of several rows on their cut
+    beside = _beside(rows, plan, PLAN)
+    once_more = (F.col("m_key") < F.col("cut_key")) | ((F.col("m_key") == F.col("cut_key")) & (F.col("cut_rows") == F.col("cut_all")))
+    times = F.when(F.col("m_size") == 0, 0).otherwise(F.col("epochs") + F.when(once_more, 1).otherwise(0))
+    whole = beside.withColumn("copies", times.cast("int")).select(*places, "copies")
+    if not some:
+        return whole
+    # one document's rows a source
+    on_cut = _beside(rows, [p for p in plan if p[0] in some], PLAN).where("m_key = cut_key and m_size > 0")
+    on_cut = on_cut.groupBy(*places, "m_source", "cut_rows").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("m_source").orderBy(*places).rowsBetween(Window.unboundedPreceding, 0))
+    times = F.least(F.col("n"), F.greatest(F.lit(0), F.col("cut_rows") - (so_far - F.col("n"))))
+    return whole.union(on_cut.withColumn("copies", times.cast("int")).select(*places, "copies"))
 
 
 def mix_sources(
@@ -164,18 +189,25 @@ def mixed_corpus(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    whole: bool = False,
 ) -> DataFrame:
     """The mix itself: each row of ``docs`` once per time taken, all columns kept.
 
-    The document on a source's cut comes, as its last copy, with its first words
-    only. Sizes and keys are read off the texts again rather than joined to them.
+    With ``whole`` the document on a source's cut is taken or left whole, whichever
+    ends nearer the target; else it comes, as its last copy, with its first words
+    only, to the count of ``mix_sources``. Sizes and keys are read off the texts
+    again rather than joined to them.
     """
     places = [f"c{i}" for i in range(len(docs.columns))]
     text = places[docs.columns.index(text_col)]
     rows = docs.toDF(*places).withColumn("m_source", F.col(places[docs.columns.index(source_col)]))
     rows = _with_key(rows, places[docs.columns.index(id_col)], text, seed)
     keyed = stored(rows.select("m_source", "m_size", "m_key"), "mixing")
-    told = _taken(rows, plan_mix(keyed, weights, share, most)).where(F.col("taken") > 0)
+    plan = plan_mix(keyed, weights, share, most)
+    if whole:
+        told = _whole(rows, plan, places).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+        return told.select(*places).toDF(*docs.columns)
+    told = _taken(rows, plan).where(F.col("taken") > 0)
     told = told.withColumn("copy", F.explode(F.expr("sequence(1L, cast(ceil(taken / m_size) as bigint))")))
     words = F.col("taken") - (F.col("copy") - 1) * F.col("m_size")
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
