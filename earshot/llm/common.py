@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,15 +28,30 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    A folder of one machine would lose rows on a cluster, so none is made up.
+    """
     context = spark.sparkContext
     found = context.getCheckpointDir()
     if found is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="earshot-")
+        found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not found:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found)
     return found
 
 
+def staging_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/earshot-{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all that this application has stored; results that still read it are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -45,11 +59,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: a columnar lineage cut."""
+    """Write a table in the shared folder and read it back: a columnar lineage cut.
+
+    Columns are written by position, as names may differ in case only.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/earshot-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{staging_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    flat.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(flat.schema).parquet(path).toDF(*df.columns)
 
 
 def ascii_lower(column: Column) -> Column:

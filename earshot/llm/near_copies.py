@@ -1,21 +1,27 @@
-"""Near-dedup by the exact similarity of word shingles.
+"""Near-dedup: SimHash groups first, completed by the exact similarity of word shingles.
 
 Texts are near copies if their sets of five-word shingles have a Jaccard
-similarity of 0.8 at least, or are linked over such pairs. Candidates are complete:
-the shingles of a set are put in one order for all sets, and two sets of this
-similarity share one of the first fifth (and one) of each, so lists of the sets
-that hold a shingle there meet all pairs. The order puts shingles last that are
-frequent in a sample of bounded size; it changes the length of the lists, never
-what is found. Every candidate is then held against the exact similarity.
-
-Equal sets are one node. Lists are not paired in full at once: in two rounds each
-member meets one member of its list, and only what the links of these rounds leave
-in different components meets all others. A large group of near copies so costs
-its size, not the square of it.
+similarity of 0.8 at least, or are linked over such pairs. SimHash fingerprints of
+the same shingles, linked by anchor-point covering (``simhash``), propose the first
+pairs. At this similarity fingerprints differ in about ten bits, far beyond what a
+covering can hold, so prefix lists complete the candidates: the shingles of a set
+are put in one order for all sets, and two sets of this similarity share one of the
+first fifth (and one) of each, so lists of the sets that hold a shingle there meet
+all pairs. The order puts shingles last that many texts hold, by hashed counters
+over all texts; it changes the length of the lists, never what is found. Every
+candidate is held against the exact similarity.
+
+Equal sets are one node. Lists are not paired in full at once: in the first rounds
+each node meets a single other, the representative of its SimHash group or the one
+that most of its lists name, and only what these links leave in different
+components meets all others. A large group of near copies so costs its size, not
+the square of it.
 
 Defined results: words are split at ASCII white space, ASCII letters lower-cased; a
 text of fewer than five words is one shingle; a null text or one without words has
-no shingle, and all of these are one group.
+no shingle, and all of these are one group; of a group the row with the smallest id
+stays, a null id being larger than any other; an empty table gives an empty result;
+all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,31 +40,28 @@ from pyspark.sql import types as T
 
 from .common import cut, stored
 from .graph import components
-from .line_dedup import HELD, SEGMENTS, Bits, _merge
+from .simhash import SEED, fingerprint_of, near_links, shingle_hashes
 
-SEED = 42
 SHINGLE = 5
-SAMPLE_ROWS = 8_000  # texts, about, whose shingles are counted to order all
-FREQUENT = 3  # texts of the sample that hold a shingle which comes last
+COUNTERS = 1 << 20  # hashed counts of the texts that hold a shingle
+OFTEN = 16  # times the mean counter, from which a shingle's list is salted
+SALTS = 64
 SLICE = 256  # texts whose sets a worker holds at once
-ROUNDS = 2  # in which members meet one other of their list, before all others
+ROUNDS = 3  # in which nodes meet one other, before all others
+FILTER_BITS = 1 << 27  # of a filter of row marks: 16 MB
+SEGMENTS = 64  # pieces in which counters and filters are merged
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles of one text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    grams = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(g, SEED) for g in grams], dtype="<u8").view("<i8"))
+    return np.unique(shingle_hashes(text, size).view("<i8"))
 
 
 def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view("<i8"))
 
 
-def prefixes(sets: list[np.ndarray], frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(sets: list[np.ndarray], counters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, shingle, place) of the first shingles of each set, rare ones first.
 
     Of n shingles, n - ceil(0.8 n) + 1: a set of similarity 0.8 lacks fewer.
@@ -65,11 +69,7 @@ def prefixes(sets: list[np.ndarray], frequent: np.ndarray, counts: np.ndarray) -
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets).astype(np.int64) if len(sets) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    weight = np.zeros(len(flat), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-        weight = np.where(frequent[at] == flat, counts[at], 0)
-    order = np.lexsort((flat, weight, owner))
+    order = np.lexsort((flat, counters[flat & (COUNTERS - 1)], owner))
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     kept = place < (sizes - (4 * sizes + 4) // 5 + 1)[owner]
     return owner[kept], flat[order][kept], place[kept]
@@ -82,72 +82,159 @@ def _slices(batches: Iterator[pd.DataFrame], size: int) -> Iterator[list[np.ndar
             yield [shingles(t, size) for t in texts[at : at + SLICE]]
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, set) of each row of ``texts`` (text)."""
+def _prints(rows: DataFrame, size: int) -> DataFrame:
+    """(id, hash, node, fp) of each of ``rows`` (id, hash, text), and rows (segment, counts) of a task's counters."""
+    schema = T.StructType(
+        [
+            rows.schema["id"],
+            T.StructField("hash", T.LongType()),
+            T.StructField("node", T.LongType()),
+            T.StructField("fp", T.LongType()),
+            T.StructField("segment", T.IntegerType()),
+            T.StructField("counts", T.BinaryType()),
+        ]
+    )
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, np.uint32)
+        held: list[np.ndarray] = []
+        width, id_type = 0, None
+
+        def settle() -> None:
+            nonlocal width
+            counters[:] += np.bincount(np.concatenate(held) & (COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
+            held.clear()
+            width = 0
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for found in _slices(batches, size):
-            yield pd.DataFrame({"node": [node_of(s) for s in found], "set": found})
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            nodes, prints = [], []
+            for text in batch.column("text"):
+                hashes = shingle_hashes(text.as_py(), size)
+                found = np.unique(hashes.view("<i8"))
+                nodes.append(node_of(found))
+                prints.append(fingerprint_of(hashes))
+                held.append(found)
+                width += len(found)
+                if width >= COUNTERS:
+                    settle()
+            n = len(nodes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("hash"), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=schema.names,
+            )
+        if held:
+            settle()
+        if id_type is not None:
+            packed = [zlib.compress(part.tobytes(), 1) for part in np.split(counters, SEGMENTS)]
+            longs = [pa.nulls(SEGMENTS, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(SEGMENTS, id_type), *longs, pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=schema.names
+            )
 
-    return texts.select("text").mapInPandas(of, "node long, set array<long>")
+    return rows.mapInArrow(of, schema)
 
 
-def _frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in a sample of the texts and their counts, in order of the shingles."""
-    every = max(1, rows.count() // SAMPLE_ROWS)
-    sample = rows.where(F.pmod("hash", F.lit(every)) == 0).dropDuplicates(["hash"])
-    found = _sets(sample, size).select(F.explode("set").alias("token")).groupBy("token").count()
-    found = found.where(F.col("count") >= FREQUENT).toPandas().sort_values("token")
-    return found["token"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+def _merged_counters(parts: DataFrame) -> np.ndarray:
+    """The sums of all tasks' counters, 4 MB, on the driver."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, packed in zip(batch["segment"], batch["counts"], strict=True):
+                counts = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
+                held[segment] = held[segment] + counts if segment in held else counts
+        for segment, counts in held.items():
+            small = np.minimum(counts, np.uint64((1 << 32) - 1)).astype(np.uint32)
+            yield pd.DataFrame({"segment": [segment], "counts": [zlib.compress(small.tobytes(), 1)]})
 
+    whole = np.zeros(COUNTERS, np.uint32)
+    pieces = np.split(whole, SEGMENTS)
+    for row in parts.repartition(SEGMENTS, "segment").mapInPandas(add, "segment int, counts binary").collect():
+        pieces[row.segment][:] = np.frombuffer(zlib.decompress(row.counts), np.uint32)
+    return whole
 
-def _lists(rows: DataFrame, size: int) -> DataFrame:
-    """(token, node, n, place) of the first shingles that several nodes share."""
-    order = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size))
+
+def _lists(reps: DataFrame, counters: np.ndarray, size: int) -> DataFrame:
+    """(token, node, n, place) of the first shingles that several nodes share.
+
+    A list is short unless its shingle's counter is high; lists that may be long
+    are dealt over salts and kept without a look at their other members.
+    """
+    order = reps.sparkSession.sparkContext.broadcast(counters)
+    high = max(1000, OFTEN * int(counters.mean()))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for found in _slices(batches, size):
-            owner, token, place = prefixes(found, *order.value)
-            nodes = np.array([node_of(s) for s in found], np.int64)
-            sizes = np.array([len(s) for s in found], np.int64)
-            yield pd.DataFrame({"token": token, "node": nodes[owner], "n": sizes[owner], "place": place})
+            owner, token, place = prefixes(found, order.value)
+            nodes = np.array([node_of(s) for s in found], np.int64)[owner]
+            sizes = np.array([len(s) for s in found], np.int64)[owner]
+            often = order.value[token & (COUNTERS - 1)] >= high
+            yield pd.DataFrame({"token": token, "node": nodes, "n": sizes, "place": place, "salt": np.where(often, 1 + nodes % SALTS, 0)})
+
+    entries = reps.select("text").mapInPandas(spread, "token long, node long, n int, place int, salt int")
+    of_list = Window.partitionBy("token", "salt")
+    entries = entries.withColumn("low", F.min("node").over(of_list)).withColumn("high", F.max("node").over(of_list))
+    shared = entries.where("salt > 0 or low < high")
+    return stored(shared.select("token", "node", "n", "place").distinct(), "lists")
 
-    entries = rows.select("text").mapInPandas(spread, "token long, node long, n int, place int")
-    of_token = Window.partitionBy("token")
-    entries = entries.withColumn("low", F.min("node").over(of_token)).withColumn("high", F.max("node").over(of_token))
-    return stored(entries.where("low < high").select("token", "node", "n", "place").distinct(), "lists")
 
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.int64(FILTER_BITS - 1)
+    return hashes & mask, (hashes >> 32) & mask
 
-def _filter(hashes: DataFrame) -> bytes:
-    """A filter of the column ``hash``, of fixed size, on the driver."""
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``hash``, of fixed size, on the driver."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = Bits()
+        held = np.zeros(FILTER_BITS >> 3, np.uint8)
+        for batch in batches:
+            for place in _places(batch["hash"].to_numpy(np.int64)):
+                np.bitwise_or.at(held, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+        for k, part in enumerate(np.split(held, SEGMENTS)):
+            if part.any():
+                yield pd.DataFrame({"segment": [k], "bits": [zlib.compress(part.tobytes(), 1)]})
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            held.add(batch["hash"].to_numpy(np.int64).view(np.uint64))
-        parts = np.split(held.array, SEGMENTS)
-        for s in (k for k, part in enumerate(parts) if part.any()):
-            packed = [zlib.compress(parts[s].tobytes(), 1)]
-            yield pd.DataFrame({"segment": [s], "once": packed, "twice": packed})
+            for segment, packed in zip(batch["segment"], batch["bits"], strict=True):
+                bits = np.frombuffer(zlib.decompress(packed), np.uint8)
+                held[segment] = held[segment] | bits if segment in held else bits
+        for segment, bits in held.items():
+            yield pd.DataFrame({"segment": [segment], "bits": [zlib.compress(bits.tobytes(), 1)]})
+
+    whole = np.zeros(FILTER_BITS >> 3, np.uint8)
+    pieces = np.split(whole, SEGMENTS)
+    schema = "segment int, bits binary"
+    for row in hashes.mapInPandas(fill, schema).repartition(SEGMENTS, "segment").mapInPandas(join, schema).collect():
+        pieces[row.segment][:] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return whole
+
+
+def _rows_of(hashes: DataFrame, rows: DataFrame) -> tuple[DataFrame, object]:
+    """The ``rows`` (mark, text) whose mark is among ``hashes`` (hash), and a few others, without a shuffle."""
+    held = rows.sparkSession.sparkContext.broadcast(_filter(hashes))
 
-    whole = Bits()
-    parts = np.split(whole.array, SEGMENTS)
-    for row in hashes.mapInPandas(fill, HELD).repartition(SEGMENTS, "segment").mapInPandas(_merge, HELD).collect():
-        parts[row.segment][:] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    return whole.array.tobytes()
+    @F.pandas_udf(T.BooleanType())
+    def has(marks: pd.Series) -> pd.Series:
+        first, second = _places(marks.to_numpy(np.int64))
+        at = lambda p: (held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+        return pd.Series((at(first) & at(second)).astype(bool))
+
+    return rows.where(has("mark")), held
 
 
 def _sets_of(hashes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the rows with these ``hashes`` (hash) as mark, and of few others; read off the texts again."""
-    held = rows.sparkSession.sparkContext.broadcast(_filter(hashes))
+    """(node, set) of the rows with these ``hashes`` (hash) as mark; read off the texts again."""
 
-    @F.pandas_udf(T.BooleanType())
-    def has(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bits = Bits(held.value)
-        for some in batches:
-            yield pd.Series(bits.has(some.to_numpy(np.int64).view(np.uint64)))
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in _slices(batches, size):
+            yield pd.DataFrame({"node": [node_of(s) for s in found], "set": found})
 
-    sets = stored(_sets(rows.where(has("mark")), size), "sets")
+    some, held = _rows_of(hashes, rows)
+    sets = stored(some.select("text").mapInPandas(of, "node long, set array<long>"), "sets")
     held.destroy()
     return sets
 
@@ -159,7 +246,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) ->
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.where(9 * common >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct()
+    return pairs.where(9 * common >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
 def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -169,13 +256,25 @@ def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
     return lists.join(labels, F.col("node") == F.col("at"), "left").select(*lists.columns, F.coalesce("label", "node").alias("label"))
 
 
-def similar_links(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(a, b), a < b, that join the ``nodes`` (node, hash) of all ``rows`` over all similar pairs.
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
 
-    Of the rows (hash, mark, text), ``nodes.hash`` is the mark of one row a node.
+def print_pairs(nodes: DataFrame, threshold: int = 2) -> DataFrame:
+    """(a, b): each node of ``nodes`` (node, fp) beside the representative of its SimHash group."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    labels = components(near_links(prints.select("fp"), threshold)).select(F.col("node").alias("at"), "label")
+    named = prints.join(labels, F.col("fp") == F.col("at"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    heads = stored(named.groupBy("label").agg(F.min("first").alias("head")).join(named, "label").select(F.col("fp").alias("h_fp"), "head"), "heads")
+    beside = nodes.join(heads, F.col("fp") == F.col("h_fp")).where("node <> head")
+    return beside.select(*_pair("node", "head"))
+
+
+def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(a, b), a < b, that join the ``nodes`` (node, hash, fp) over all similar pairs.
+
+    Of the ``rows`` (mark, text), ``nodes.hash`` is the mark of one row a node.
     """
-    lists = _lists(rows, size)
-    ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     other = {"node": "other", "n": "m", "place": "o_place", "label": "o_label"}
     # enough is left if no shingle before this one is shared, and the sizes fit
     most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("o_place"))
@@ -183,19 +282,26 @@ def similar_links(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     found: list[DataFrame] = []
     met: list[DataFrame] = []
     for k in range(ROUNDS + 1):
-        told = stored(_labelled(lists, reduce(DataFrame.union, found) if found else None), "labelled")
-        if k < ROUNDS:  # each member beside one of its list, another one each round
-            draw = F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), *other)
-            one = told.groupBy("token").agg(F.min(draw).alias("o")).select("token", *[F.col(f"o.{a}").alias(b) for a, b in other.items()])
-        else:  # each member beyond its list's largest component beside all others
-            main = told.groupBy("token", "label").count().groupBy("token").agg(
-                F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")
-            )
-            main = main.where("labels > 1").select("token", F.col("main.label").alias("main"))
-            one = told.join(main, "token").where(F.col("label") != F.col("main"))
-            one = stored(one.select("token", *[F.col(a).alias(b) for a, b in other.items()]), "apart")
-        pairs = told.join(one, "token").where(fit).select(*ends).distinct()
-        if met:  # no pair is held against its sets twice
+        if k == 0:
+            pairs = print_pairs(nodes)
+        else:
+            told = stored(_labelled(lists, reduce(DataFrame.union, found)), "labelled")
+            if k < ROUNDS:  # one member of each list, another one each round
+                draw = F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), *other)
+                one = told.groupBy("token").agg(F.min(draw).alias("o"))
+                one = stored(one.select("token", *[F.col(f"o.{a}").alias(b) for a, b in other.items()]), "ones")
+                named = told.join(one, "token").where(fit).groupBy("node", "other").count()
+                best = F.max(F.struct("count", F.xxhash64("other").alias("tie"), "other")).alias("best")
+                pairs = named.groupBy("node").agg(best).select(*_pair("node", "best.other")).distinct()
+            else:  # each member beyond its list's largest component beside all others
+                main = told.groupBy("token", "label").count().groupBy("token").agg(
+                    F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")
+                )
+                main = stored(main.where("labels > 1").select("token", F.col("main.label").alias("main")), "main")
+                one = told.join(main, "token").where(F.col("label") != F.col("main"))
+                one = stored(one.select("token", *[F.col(a).alias(b) for a, b in other.items()]), "apart")
+                pairs = told.join(one, "token").where(fit).select(*_pair("node", "other")).distinct()
+            # no pair is held against its sets twice
             pairs = pairs.join(reduce(DataFrame.union, met), ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidates")
         met.append(pairs)
@@ -213,17 +319,17 @@ def without_near_copies(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc
     flat = docs.toDF(*places)
     at_id, at_text = places[docs.columns.index(id_col)], places[docs.columns.index(text_col)]
     text_hash = F.xxhash64(at_text)
-    rows = flat.select(text_hash.alias("hash"), F.xxhash64(F.col(at_id), text_hash).alias("mark"), F.col(at_text).alias("text"))
-
-    @F.pandas_udf(T.LongType())
-    def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([node_of(shingles(t, size)) for t in texts], dtype="int64")
-
-    prints = stored(flat.select(F.col(at_id).alias("id"), F.xxhash64(at_text).alias("hash"), node(at_text).alias("node")), "prints")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
+    rows = flat.select(F.xxhash64(F.col(at_id), text_hash).alias("mark"), F.col(at_text).alias("text"))
+    told = stored(_prints(flat.select(F.col(at_id).alias("id"), text_hash.alias("hash"), F.col(at_text).alias("text")), size), "prints")
+    counters = _merged_counters(told.where("segment is not null").select("segment", "counts"))
+    prints = told.where("segment is null").select("id", "hash", "node", "fp")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "fp")
     nodes = stored(prints.groupBy("node").agg(F.min(order).alias("least")), "nodes")
-    links = similar_links(rows, nodes.select("node", F.xxhash64("least.id", "least.hash").alias("hash")), size)
+    marks = nodes.select("node", F.xxhash64("least.id", "least.hash").alias("hash"), "least.fp")
+    reps, held = _rows_of(marks.select("hash"), rows)
+    lists = _lists(reps, counters, size)
+    held.destroy()
+    links = similar_links(lists, rows, marks, size)
     labels = components(links).select(F.col("node").alias("at"), "label")
     marked = nodes.join(labels, F.col("node") == F.col("at"), "left")
     least = marked.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))

@@ -33,7 +33,6 @@ from pyspark.sql import types as T
 
 from .common import cut, pick, stored
 from .graph import components
-from .near_copies import without_near_copies  # noqa: F401
 
 SEED = 42
 CHUNK = 1 << 16  # hashes whose bits are spread out at once
@@ -42,17 +41,18 @@ CHUNK = 1 << 16  # hashes whose bits are spread out at once
 LENGTH, RADIUS, GENERATOR = 23, 3, 0b101011100011
 
 
-def simhash(text: str | None, shingle: int) -> int:
-    """Fingerprint of one text, as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of one text, repeats included."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+        return np.zeros(0, "<u8")
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return np.array([digest(g, SEED) for g in grams], dtype="<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes set, as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -61,6 +61,11 @@ def simhash(text: str | None, shingle: int) -> int:
     return int(bits.view("<i8")[0])
 
 
+def simhash(text: str | None, shingle: int) -> int:
+    """Fingerprint of one text, as a signed 64-bit integer."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def _syndrome(word: int) -> int:
     for k in range(LENGTH - 1, 10, -1):
         if word >> k & 1:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from earshot.llm import simhash
+from earshot.llm import near_copies
 
 SCHEMA = T.StructType(
     [
@@ -34,6 +34,7 @@ def table():
     texts |= {100: clean[3], 101: clean[3], 102: clean[5].replace(clean[5].split()[70], "changed", 1)}
     texts |= {200: clean[7] + " " + LEAK, 201: prose(rnd, 6) + " " + LEAK.replace("esha", "esho") + prose(rnd, 4)}
     texts |= {300: "too short", 301: None, 302: "", 303: " ".join(w + "%%%" for w in prose(rnd, 12).split())}
+    texts |= {202: prose(rnd, 9) + " " + LEAK}
     texts |= {304: " | ".join(prose(rnd, 12).split()), 305: "same same same " * 60}
     return [(i, t, "en", f"src{i % 3}", 0) for i, t in texts.items()], set(clean)
 
@@ -60,7 +61,8 @@ def test_stages(spark, sf_dir):
     assert ids(good) == ids(docs) - {300, 301, 302, 303, 304, 305}
     once = stages["near_dedup"](spark, good, sf_dir)
     assert once.columns == docs.columns and once.count() == len(ids(once))
-    assert ids(once) == ids(good) - {100, 101, 102}
+    # 200 shares 140 of 159 five-word shingles with 7: 0.88
+    assert ids(once) == ids(good) - {100, 101, 102, 200}
     free = stages["decontamination"](spark, once, sf_dir)
     assert free.columns == docs.columns and ids(free) == clean
     mixed = stages["source_mix"](spark, free, sf_dir)
@@ -77,5 +79,5 @@ def test_rows_that_share_id_and_text(spark):
     rnd = random.Random(2)
     text = prose(rnd, 10)
     rows = [(7, text, "en", "a", 0)] * 3 + [(None, text, "en", "a", 0), (None, None, "en", "a", 0), (8, prose(rnd, 10), "en", "a", 0)]
-    left = simhash.without_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    left = near_copies.without_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in left if r.text) == [(False, 7), (False, 8)] and len(left) == 3
