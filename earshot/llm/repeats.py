@@ -26,7 +26,8 @@ collision of those.
 Defined results: a null text is empty; repeated rows repeat each other; texts
 shorter than LENGTH bytes stay; an empty table gives an empty result; very long
 texts are taken in stretches of ``STRETCH`` windows, with the same result; other
-columns are ignored.
+columns are ignored. Rows are known by two hashes of id and text, so ids of any type,
+nulls among them, stay in Spark.
 """
 
 from __future__ import annotations
@@ -49,9 +50,12 @@ SPAN = LENGTH - GRAM + 1  # gram places in a window
 WIDTH = 22  # offsets in a range
 STRETCH = 1 << 22
 GROUP_ROWS = 128
+SORT_ROWS = 4096  # strings that a task sorts, about
 BATCH_SYMBOLS = 1 << 16
 PLACE_BITS = 23  # a place within a stretch and its last window
 
+MARK = ("m1", "m2")  # of a row: hashes of its id and text
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_HASH = np.random.default_rng(64).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -132,18 +136,12 @@ def within_text(anchors: Iterator[tuple[int, int, int, int, bytes]]) -> list[tup
 
 def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, hashes, rows = [], [], []
-        for doc, digest, text in zip(batch["d_id"], batch["d_hash"], batch["d_text"], strict=True):
+        rows = []
+        for m1, m2, text in zip(batch["m1"], batch["m2"], batch["d_text"], strict=True):
             raw = (text or "").encode()
             if len(raw) >= LENGTH:
-                found = within_text(text_anchors(raw))
-                rows += found
-                ids += [doc] * len(found)
-                hashes += [digest] * len(found)
-        out = pd.DataFrame(rows, columns=ANCHORS.names)
-        out.insert(0, "d_hash", pd.Series(hashes, dtype="int64"))
-        out.insert(0, "d_id", pd.Series(ids, dtype=batch["d_id"].dtype))
-        yield out
+                rows += [(m1, m2, *found) for found in within_text(text_anchors(raw))]
+        yield pd.DataFrame(rows, columns=[*MARK, *ANCHORS.names])
 
 
 def ranges(raw: bytes, lo: int, hi: int, at: int) -> Iterator[tuple]:
@@ -179,17 +177,14 @@ PARTS = T.StructType(
 
 def _cut_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for doc, digest, text, reps in zip(batch["d_id"], batch["d_hash"], batch["d_text"], batch["reps"], strict=True):
+        for m1, m2, text, reps in zip(batch["m1"], batch["m2"], batch["d_text"], batch["reps"], strict=True):
             raw = text.encode()
             rows = [
-                (rep["gram"], *part, rep["done"])
+                (m1, m2, rep["gram"], *part, rep["done"])
                 for rep in reps
                 for part in ranges(raw, rep["lo"], rep["hi"], rep["at"])
             ]
-            out = pd.DataFrame(rows, columns=PARTS.names)
-            out.insert(0, "d_hash", digest)
-            out.insert(0, "d_id", pd.Series([doc] * len(out), dtype=batch["d_id"].dtype))
-            yield out
+            yield pd.DataFrame(rows, columns=[*MARK, *PARTS.names])
 
 
 def repeated_starts(groups: list[list[tuple[bytes, bytes]]]) -> list[list[np.ndarray]]:
@@ -240,39 +235,35 @@ def runs(places: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(places[a]), int(places[b])
 
 
-def _sort_groups(id_type: str):
-    """Settle groups that come row after row; a batch of groups is sorted at once."""
+def _settled(held: list[list[tuple]]) -> pd.DataFrame:
+    found = repeated_starts([[(r.left, r.right) for r in group] for group in held])
+    rows = [
+        (r.m1, r.m2, r.s + a, r.s + b + LENGTH)
+        for group, starts in zip(held, found, strict=True)
+        for r, places in zip(group, starts, strict=True)
+        if not r.done
+        for a, b in runs(places)
+    ]
+    return pd.DataFrame(rows, columns=[*MARK, "s", "t"], dtype="int64")
+
 
-    def settle(held: list[list[tuple]]) -> pd.DataFrame:
-        found = repeated_starts([[(r.left, r.right) for r in group] for group in held])
-        rows = [
-            (r.d_id, r.d_hash, r.s + a, r.s + b + LENGTH)
-            for group, starts in zip(held, found, strict=True)
-            for r, places in zip(group, starts, strict=True)
-            if not r.done
-            for a, b in runs(places)
-        ]
-        out = pd.DataFrame(rows, columns=["d_id", "d_hash", "s", "t"])
-        return out.astype({"d_hash": "int64", "s": "int64", "t": "int64"} | ({"d_id": "int64"} if id_type == "bigint" and not out["d_id"].isna().any() else {}))
-
-    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[tuple]] = []
-        key, size = None, 0
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                own = (row.gram, row.range, row.core)
-                if own != key:
-                    if size > BATCH_SYMBOLS:
-                        yield settle(held)
-                        held, size = [], 0
-                    held.append([])
-                    key = own
-                held[-1].append(row)
-                size += len(row.left) + len(row.right) + 2
-        if held:
-            yield settle(held)
-
-    return sort
+def _sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Settle groups that come row after row; a batch of groups is sorted at once."""
+    held: list[list[tuple]] = []
+    key, size = None, 0
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            own = (row.gram, row.range, row.core)
+            if own != key:
+                if size > BATCH_SYMBOLS:
+                    yield _settled(held)
+                    held, size = [], 0
+                held.append([])
+                key = own
+            held[-1].append(row)
+            size += len(row.left) + len(row.right) + 2
+    if held:
+        yield _settled(held)
 
 
 def _each_window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,12 +274,16 @@ def _each_window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = len(row.right) - (row.e - row.s)
             digests = [xxhash.xxh3_128_digest(row.left[p:] + row.core + row.right[: ends + p], len(row.left) - p) for p in places]
             yield pd.DataFrame(
-                {"d_id": [row.d_id] * len(digests), "d_hash": row.d_hash, "s": [row.s + p for p in places], "done": row.done, "window": digests}
+                {"m1": row.m1, "m2": row.m2, "s": [row.s + p for p in places], "done": row.done, "window": digests}
             )
 
 
 KEPT = T.StructType(
-    [T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
+    [
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
+        T.StructField("kept", T.BinaryType()),
+    ]
 )
 
 
@@ -297,70 +292,69 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     out = []
     for text, cut in zip(texts, spans, strict=True):
         if cut is None:
-            out.append((0, 0, None))
+            out.append((0, [], None))
             continue
-        raw, kept, at, removed, n = text.encode(), [], 0, 0, 0
-        end = -1
+        raw, kept, at, joined = text.encode(), [], 0, []
         for s, t in sorted((x["s"], x["t"]) for x in cut):
-            if s > end:
-                kept.append(raw[max(end, 0) : s])
-                n += 1
-            removed += max(0, t - max(s, end))
-            end = max(end, t)
-        kept.append(raw[end:])
-        out.append((removed, n, b"".join(kept)))
+            if joined and s <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], t)
+            else:
+                joined.append([s, t])
+        for s, t in joined:
+            kept.append(raw[at:s])
+            at = t
+        kept.append(raw[at:])
+        out.append((sum(t - s for s, t in joined), joined, b"".join(kept)))
     return pd.DataFrame(out, columns=KEPT.names)
 
 
-def _wide(schema: T.StructType, id_type: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("d_id", id_type), T.StructField("d_hash", T.LongType()), *schema.fields])
+def _wide(schema: T.StructType) -> T.StructType:
+    return T.StructType([*(T.StructField(m, T.LongType()) for m in MARK), *schema.fields])
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(d_id, d_hash, s, t): byte spans of rows (d_id, d_hash, d_text) that repeats cover."""
-    id_type = rows.schema["d_id"].dataType
-    found = stored(rows.mapInPandas(_find_anchors, _wide(ANCHORS, id_type)), "anchors")
+    """(m1, m2, s, t): byte spans of rows (m1, m2, d_text) that repeats cover."""
+    found = stored(rows.mapInPandas(_find_anchors, _wide(ANCHORS)), "anchors")
     anchors = found.where("times > 0")
     # anchors that stand twice, and whether with different bytes around
     grams = anchors.groupBy("gram").agg(F.sum("times").alias("n"), F.min("bytes").alias("a"), F.max("bytes").alias("b"))
     grams = stored(grams.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("differs")), "grams")
     shared = stored(anchors.join(grams, "gram"), "shared")
-    first = F.struct("d_id", "d_hash", "lo", "hi", "at")
+    first = F.struct(*MARK, "lo", "hi", "at")
     kinds = shared.groupBy("gram", "bytes").agg(F.sum("times").alias("n"), F.max("differs").alias("differs"), F.min(first).alias("rep"))
     kinds = stored(kinds, "kinds")
     equal = kinds.where("n > 1").select("gram", "bytes")
-    spans = shared.join(equal, ["gram", "bytes"]).select("d_id", "d_hash", "lo", (F.col("hi") + LENGTH).alias("t"))
-    own = found.where("times = 0").select("d_id", "d_hash", "lo", (F.col("hi") + LENGTH).alias("t"))
+    spans = shared.join(equal, ["gram", "bytes"]).select(*MARK, "lo", (F.col("hi") + LENGTH).alias("t"))
+    own = found.where("times = 0").select(*MARK, "lo", (F.col("hi") + LENGTH).alias("t"))
     spans = spans.union(own).withColumnRenamed("lo", "s")
     reps = kinds.where("differs").select("rep.*", "gram", (F.col("n") > 1).alias("done"))
-    told = reps.groupBy(F.col("d_id").alias("r_id"), F.col("d_hash").alias("r_hash")).agg(
-        F.collect_list(F.struct("lo", "hi", "at", "gram", "done")).alias("reps")
-    )
-    same = F.col("d_id").eqNullSafe(F.col("r_id")) & (F.col("d_hash") == F.col("r_hash"))
-    parts = rows.join(told, same).drop("r_id", "r_hash").mapInPandas(_cut_ranges, _wide(PARTS, id_type))
+    told = reps.groupBy(*MARK).agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "done")).alias("reps"))
+    parts = rows.join(stored(told, "reps"), [*MARK]).mapInPandas(_cut_ranges, _wide(PARTS))
     parts = stored(parts, "parts")
     key = ["gram", "range", "core"]
     cores = parts.groupBy(*key).agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
     cores = stored(cores.where("n > 1").select(*key, (F.col("a") != F.col("b")).alias("differs")), "cores")
     close = stored(parts.join(cores, key), "close")
-    first = F.struct("d_id", "d_hash", "s", "e", "left", "right", "done")
+    first = F.struct(*MARK, "s", "e", "left", "right", "done")
     wholes = close.groupBy(*key, "whole").agg(F.count("*").alias("n"), F.max("differs").alias("differs"), F.min(first).alias("rep"))
     wholes = stored(wholes, "wholes")
     equal = wholes.where("n > 1").select(*key, "whole")
     ranged = close.where(~F.col("done")).join(equal, [*key, "whole"])
-    spans = spans.unionByName(ranged.select("d_id", "d_hash", "s", (F.col("e") + LENGTH).alias("t")))
+    spans = spans.unionByName(ranged.select(*MARK, "s", (F.col("e") + LENGTH).alias("t")))
     rest = wholes.where("differs").select(
-        *key, "rep.d_id", "rep.d_hash", "rep.s", "rep.e", "rep.left", "rep.right", (F.col("rep.done") | (F.col("n") > 1)).alias("done")
+        *key, *[f"rep.{m}" for m in MARK], "rep.s", "rep.e", "rep.left", "rep.right", (F.col("rep.done") | (F.col("n") > 1)).alias("done")
     )
     large = stored(wholes.where("differs").groupBy(*key).count().where(F.col("count") > GROUP_ROWS).select(*key), "large")
     small = rest.join(large, key, "left_anti")
-    by_group = small.repartition(*key).sortWithinPartitions(*key)
-    decided = by_group.mapInPandas(_sort_groups(id_type.simpleString()), _wide(SPANS, id_type))
+    # sorting costs by strings and not by bytes: the tasks are counted by strings
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), wholes.where("differs").count() // SORT_ROWS + 1)
+    by_group = small.repartition(tasks, *key).sortWithinPartitions(*key)
+    decided = by_group.mapInPandas(_sort_groups, _wide(SPANS))
     spans = spans.unionByName(decided)
-    windows = stored(rest.join(large, key, "left_semi").mapInPandas(_each_window, _wide(WINDOWS, id_type)), "windows")
+    windows = stored(rest.join(large, key, "left_semi").mapInPandas(_each_window, _wide(WINDOWS)), "windows")
     twice = stored(windows.groupBy("window").count().where("count > 1").select("window"), "twice")
     single = windows.where(~F.col("done")).join(twice, "window")
-    return spans.unionByName(single.select("d_id", "d_hash", "s", (F.col("s") + LENGTH).alias("t")))
+    return spans.unionByName(single.select(*MARK, "s", (F.col("s") + LENGTH).alias("t")))
 
 
 SPANS = T.StructType([T.StructField("s", T.LongType()), T.StructField("t", T.LongType())])
@@ -370,24 +364,38 @@ WINDOWS = T.StructType(
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept) of every row; kept is binary, as cuts may split a code point."""
-    rows = pick(docs, id_col, text_col).toDF("d_id", "d_text").withColumn("d_hash", F.xxhash64("d_text"))
-    spans = repeated_spans(rows)
-    by_doc = spans.groupBy(F.col("d_id").alias("r_id"), F.col("d_hash").alias("r_hash")).agg(
-        F.collect_list(F.struct("s", "t")).alias("spans")
-    )
-    same = F.col("d_id").eqNullSafe(F.col("r_id")) & (F.col("d_hash") == F.col("r_hash"))
-    told = rows.join(by_doc, same, "left").withColumn("told", _without("d_text", "spans"))
+    """(id, n_bytes, n_removed, spans, kept) of every row.
+
+    ``spans`` are the removed runs, (start, end) in bytes; ``kept`` is binary, as cuts
+    may split a code point.
+    """
+    rows = pick(docs, id_col, text_col).toDF("d_id", "d_text")
+    rows = rows.withColumns({"m1": F.xxhash64("d_id", "d_text"), "m2": F.xxhash64(F.lit(GRAM), "d_text", "d_id")})
+    spans = repeated_spans(rows.select(*MARK, "d_text"))
+    by_doc = stored(spans.groupBy(*MARK).agg(F.collect_set(F.struct("s", "t")).alias("found")), "spans")
+    told = rows.join(by_doc, [*MARK], "left").withColumn("told", _without("d_text", "found"))
     return told.select(
         F.col("d_id").alias(id_col),
         F.coalesce(F.octet_length("d_text"), F.lit(0)).cast("long").alias("n_bytes"),
         "told.n_removed",
-        "told.n_spans",
+        "told.spans",
         F.coalesce("told.kept", utf8(F.col("d_text"))).alias("kept"),
     )
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:
-    """Byte and span counts and the digest of what is kept, per document."""
+    """Byte and span counts and the digest of what is kept, per document; then the removed runs and the kept text.
+
+    In ``kept_text`` a code point that a cut splits is shown by a replacement character.
+    """
     found = remove_repeats(docs)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("repeated"),
+        F.expr("array_join(transform(spans, s -> concat_ws(':', s[0], s[1])), ',')").alias("removed_spans"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+    )
