@@ -12,8 +12,8 @@ over all texts; it changes the length of the lists, never what is found. Every
 candidate is held against the exact similarity.
 
 Equal sets are one node. Lists are not paired in full at once: in the first rounds
-each node meets a single other, the representative of its SimHash group or the one
-that most of its lists name, and only what these links leave in different
+each node meets one other, the one that most of its lists name, and once the
+representative of its SimHash group, and only what these links leave in different
 components meets all others. A large group of near copies so costs its size, not
 the square of it.
 
@@ -47,7 +47,7 @@ COUNTERS = 1 << 20  # hashed counts of the texts that hold a shingle
 OFTEN = 16  # times the mean counter, from which a shingle's list is salted
 SALTS = 64
 SLICE = 256  # texts whose sets a worker holds at once
-ROUNDS = 3  # in which nodes meet one other, before all others
+ROUNDS = 2  # in which nodes meet one or two others, before all others
 FILTER_BITS = 1 << 27  # of a filter of row marks: 16 MB
 SEGMENTS = 64  # pieces in which counters and filters are merged
 
@@ -282,26 +282,26 @@ def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int
     found: list[DataFrame] = []
     met: list[DataFrame] = []
     for k in range(ROUNDS + 1):
-        if k == 0:
-            pairs = print_pairs(nodes)
-        else:
-            told = stored(_labelled(lists, reduce(DataFrame.union, found)), "labelled")
-            if k < ROUNDS:  # one member of each list, another one each round
-                draw = F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), *other)
-                one = told.groupBy("token").agg(F.min(draw).alias("o"))
-                one = stored(one.select("token", *[F.col(f"o.{a}").alias(b) for a, b in other.items()]), "ones")
-                named = told.join(one, "token").where(fit).groupBy("node", "other").count()
-                best = F.max(F.struct("count", F.xxhash64("other").alias("tie"), "other")).alias("best")
-                pairs = named.groupBy("node").agg(best).select(*_pair("node", "best.other")).distinct()
-            else:  # each member beyond its list's largest component beside all others
-                main = told.groupBy("token", "label").count().groupBy("token").agg(
-                    F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")
-                )
-                main = stored(main.where("labels > 1").select("token", F.col("main.label").alias("main")), "main")
-                one = told.join(main, "token").where(F.col("label") != F.col("main"))
-                one = stored(one.select("token", *[F.col(a).alias(b) for a, b in other.items()]), "apart")
-                pairs = told.join(one, "token").where(fit).select(*_pair("node", "other")).distinct()
-            # no pair is held against its sets twice
+        told = stored(_labelled(lists, reduce(DataFrame.union, found)), "labelled") if found else _labelled(lists, None)
+        if k < ROUNDS:  # one member of each list, another one each round
+            draw = F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), *other)
+            one = told.groupBy("token").agg(F.min(draw).alias("o"))
+            one = stored(one.select("token", *[F.col(f"o.{a}").alias(b) for a, b in other.items()]), "ones")
+            named = told.join(one, "token").where(fit).groupBy("node", "other").count()
+            best = F.max(F.struct("count", F.xxhash64("other").alias("tie"), "other")).alias("best")
+            pairs = named.groupBy("node").agg(best).select(*_pair("node", "best.other"))
+            if k == 0:
+                pairs = pairs.union(print_pairs(nodes))
+            pairs = pairs.distinct()
+        else:  # each member beyond its list's largest component beside all others
+            main = told.groupBy("token", "label").count().groupBy("token").agg(
+                F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")
+            )
+            main = stored(main.where("labels > 1").select("token", F.col("main.label").alias("main")), "main")
+            one = told.join(main, "token").where(F.col("label") != F.col("main"))
+            one = stored(one.select("token", *[F.col(a).alias(b) for a, b in other.items()]), "apart")
+            pairs = told.join(one, "token").where(fit).select(*_pair("node", "other")).distinct()
+        if met:  # no pair is held against its sets twice
             pairs = pairs.join(reduce(DataFrame.union, met), ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidates")
         met.append(pairs)
