@@ -2,17 +2,20 @@
 
 A test item of m characters may be found with k = rate * m edits. Cut in k + 1
 pieces, one piece at least stands unchanged wherever the item is found: exact
-piece hits (one automaton over all pieces) give windows of the text, and Myers'
-bit-parallel distance decides on each. Texts and items are compared lower-cased
-with runs of white space as one space.
+piece hits give windows of the text, and Myers' bit-parallel distance decides on
+each. Texts and items are compared lower-cased with runs of white space as one
+space.
 
-Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass over
-the documents per block; hits are found per document, without a shuffle.
+Items go to the tasks in blocks of about ``BLOCK_BYTES`` of text. Documents are
+searched for one block after the other, what is found being written in between, so
+neither the driver nor a task ever holds more than a block; a benchmark of one block,
+the usual size, takes a single pass. Hits are found per document, without a shuffle.
 
 Defined results: null or empty texts hold no item; null or empty items are never
-found; items of fewer than ``shortest`` characters are found only as a whole
-document; repeated rows and null ids are searched row by row; an item id that
-stands twice is found as two items; an empty table on either side gives an empty
+found; items of fewer than ``shortest`` characters, too short for an edit or for
+chance not to matter, are found where they stand as whole words, without edits;
+repeated rows and null ids are searched row by row; an item id that stands twice,
+or a null one, is found item by item; an empty table on either side gives an empty
 result; other columns are ignored.
 """
 
@@ -20,14 +23,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick
+from .common import pick, stored
 
 RATE = 0.07  # edits per character of an item
 SHORTEST = 20
@@ -78,17 +82,16 @@ def least_distance(item_masks: dict[str, int], m: int, text: str) -> int:
 class Matcher:
     """All items of a block: the automaton over their pieces, and the verifier."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], rate: float, shortest: int):
-        self.items, self.whole = [], {}
+    def __init__(self, items: Sequence[tuple], rate: float, shortest: int):
+        self.items = []
         words: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = plain(text)
             if not text:
                 continue
-            if len(text) < shortest:
-                self.whole.setdefault(text, []).append(item_id)
-                continue
             edits = math.floor(rate * len(text))
+            if len(text) < shortest:  # stands as whole words, in one piece
+                text, edits = f" {text} ", 0
             for offset, piece in pieces(text, edits):
                 words.setdefault(piece, []).append((len(self.items), offset))
             self.items.append((item_id, text, edits, masks(text)))
@@ -97,12 +100,13 @@ class Matcher:
             self.automaton.add_word(word, (len(word), places))
         self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int]]:
+    def find(self, text: str | None) -> list[tuple]:
         """(item id, fewest edits) of each item that stands in the text."""
         text = plain(text)
-        found = [(i, 0) for i in self.whole.get(text, ())] if text else []
-        if not self.items:
-            return found
+        if not text or not self.items:
+            return []
+        text = f" {text} "
+        found = []
         starts: dict[int, set[int]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for k, offset in places:
@@ -136,41 +140,32 @@ class Matcher:
             yield first, last
 
 
-HITS = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("distance", T.LongType())]))
-
-
-def matchers(benchmark: DataFrame, rate: float, shortest: int, item_col: str, text_col: str) -> list:
-    """One vectorised function text -> hits per block of the benchmark.
-
-    A block's items are collected on their own; their text is bounded by twice
-    ``BLOCK_BYTES`` or one item.
-    """
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
+    """The items (b_id, b_text) in blocks of about ``BLOCK_BYTES``."""
     rows = pick(benchmark, item_col, text_col).toDF("b_id", "b_text").where("b_text is not null")
     size = rows.agg(F.sum(F.octet_length("b_text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("b_id", "b_text"), F.lit(blocks))
-    out = []
-    for b in range(blocks):
-        items = sorted(tuple(r) for r in rows.where(block == b).collect())
-        if items:
-            sent = rows.sparkSession.sparkContext.broadcast(items)
-            out.append(_matcher(sent, rate, shortest))
-    return out
+    return [rows.where(block == b) for b in range(blocks)]
+
 
+def _hits_type(item_type: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("item", item_type), T.StructField("distance", T.LongType())]))
 
-def _matcher(sent, rate: float, shortest: int):
-    @F.pandas_udf(HITS)
+
+def _matcher(block: DataFrame, rate: float, shortest: int):
+    """The broadcast items of a block, and a vectorised function text -> hits."""
+    items = sorted((tuple(r) for r in block.collect()), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
+    sent = block.sparkSession.sparkContext.broadcast(items)
+
+    @F.pandas_udf(_hits_type(block.schema["b_id"].dataType))
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(sent.value, rate, shortest)
         for texts in batches:
             rows = [matcher.find(t) for t in texts]
             yield pd.Series([[{"item": i, "distance": d} for i, d in r] for r in rows])
 
-    return match
-
-
-def _all_hits(found: list, text: str) -> Column:
-    return F.concat(*[f(text) for f in found]) if found else F.lit(None).cast(HITS)
+    return sent, match
 
 
 def leaks(
@@ -183,9 +178,17 @@ def leaks(
     item_col: str = "item_id",
 ) -> DataFrame:
     """(id, item, distance) of every item found in every row."""
-    found = matchers(benchmark, rate, shortest, item_col, text_col)
     rows = pick(docs, id_col, text_col).toDF("t_id", "t_text")
-    hits = rows.select("t_id", F.explode(_all_hits(found, "t_text")).alias("hit"))
+    blocks = _blocks(benchmark, item_col, text_col)
+    found = []
+    for block in blocks:
+        sent, match = _matcher(block, rate, shortest)
+        hits = rows.select("t_id", F.explode(match("t_text")).alias("hit"))
+        if len(blocks) > 1:
+            hits = stored(hits, "hits")
+            sent.destroy()
+        found.append(hits)
+    hits = reduce(DataFrame.union, found)
     return hits.select(F.col("t_id").alias(id_col), F.col("hit.item").alias(item_col), F.col("hit.distance").alias("distance"))
 
 
@@ -193,10 +196,14 @@ def without_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: float = RATE, shortest: int = SHORTEST, text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
     """The rows, with all their columns, in which no item is found."""
-    found = matchers(benchmark, rate, shortest, item_col, "text")
-    if not found:
-        return docs
     places = [f"c{i}" for i in range(len(docs.columns))]
-    flat = docs.toDF(*places)
-    hits = _all_hits(found, places[docs.columns.index(text_col)])
-    return flat.withColumn("hits", hits).where(F.size("hits") == 0).select(*places).toDF(*docs.columns)
+    text = places[docs.columns.index(text_col)]
+    left = docs.toDF(*places)
+    blocks = _blocks(benchmark, item_col, "text")
+    for block in blocks:
+        sent, match = _matcher(block, rate, shortest)
+        left = left.where(F.size(match(text)) == 0)
+        if len(blocks) > 1:
+            left = stored(left, "free")
+            sent.destroy()
+    return left.toDF(*docs.columns)
