@@ -9,9 +9,11 @@ differ in at most ``threshold`` bits therefore meet at the home of either, where
 they are compared. Equal fingerprints are one node before any of this, so exact
 copies never multiply.
 
-Two blocks give 2**24 anchors and about 61 replicas of a fingerprint at
-threshold 2, whatever the data; a fingerprint has at most 2,080
-others within 2 bits, which bounds the links.
+Two blocks give 2**24 anchors and about 61 replicas of a fingerprint at threshold
+2. Beyond as many fingerprints, bits after the blocks are added to the anchors, one
+each time the fingerprints double (their code is every word, of covering radius 0),
+so that the fingerprints of an anchor stay as few; six more bits cost 105 more
+replicas. A fingerprint has at most 2,080 others within 2 bits, which bounds the links.
 
 Defined results: a null text or one without words has fingerprint 0, linked like
 any other; repeated rows and rows with null ids are fingerprinted row by row; a
@@ -20,6 +22,7 @@ component of null ids only has a null id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -35,6 +38,7 @@ from .common import cut, pick, stored
 from .graph import components
 
 SEED = 42
+ANCHORS = 1 << 24  # of two blocks; more fingerprints take bits besides
 CHUNK = 1 << 16  # hashes whose bits are spread out at once
 
 # The binary Golay code.
@@ -98,7 +102,7 @@ def _cosets(threshold: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarr
     return high, low, classes
 
 
-def anchors(fingerprints: np.ndarray, blocks: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fingerprints: np.ndarray, blocks: int, threshold: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, home) of every replica; home marks the anchor within the covering radius."""
     high, low, classes = _cosets(threshold)
     rows = np.arange(len(fingerprints))
@@ -118,6 +122,15 @@ def anchors(fingerprints: np.ndarray, blocks: int, threshold: int) -> tuple[np.n
             code = word[rows[source]] ^ patterns[np.repeat(first, count) + within]
             parts.append((rows[source], anchor[source] << LENGTH | code, spent[source] + excess))
         rows, anchor, spent = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if extra:
+        word = ((values >> np.uint64(LENGTH * blocks)) & np.uint64((1 << extra) - 1)).astype(np.int64)
+        parts = []
+        for weight in range(threshold + 1):
+            able = np.flatnonzero(spent + weight <= threshold)
+            for places in combinations(range(extra), weight):
+                code = word[rows[able]] ^ sum(1 << k for k in places)
+                parts.append((rows[able], anchor[able] << extra | code, spent[able] + weight))
+        rows, anchor, spent = (np.concatenate(x) for x in zip(*parts, strict=True))
     return rows, anchor, spent == 0
 
 
@@ -137,10 +150,11 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
 def near_links(nodes: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame:
     """(a, b) with a < b of all distinct fingerprints ``nodes.fp`` at most ``threshold`` bits apart."""
+    extra = min(64 - LENGTH * blocks, max(0, math.ceil(math.log2(max(1, nodes.count()) / ANCHORS))))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, anchor, home = anchors(batch["fp"].to_numpy(), blocks, threshold)
+            rows, anchor, home = anchors(batch["fp"].to_numpy(), blocks, threshold, extra)
             yield pd.DataFrame({"anchor": anchor, "fp": batch["fp"].to_numpy()[rows], "home": home})
 
     copies = nodes.mapInPandas(spread, "anchor long, fp long, home boolean")
