@@ -9,9 +9,10 @@ document on the cut gives part of its words, so each source meets its target to
 the word. As a corpus of whole documents it is taken or left, whichever ends nearer
 the target; no text is changed.
 
-The order within a source is never sorted in one task: keys fall in buckets of
-about ``BUCKET_ROWS`` rows, sums per bucket find the one bucket that holds the
-cut, and only its rows are ordered.
+The order within a source is never sorted in one task: keys fall in buckets, sums
+per bucket find the one bucket that holds the cut, and its rows fall in buckets
+again, until about ``BUCKET_ROWS`` rows are left, which are ordered. A pass so sums
+up at most ``FAN`` buckets a source, whatever the source's size.
 
 Defined results: a null text has no words and is never taken; a null source is a
 source of its own, last in order; repeated rows draw the same key, and
@@ -27,10 +28,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, pick, stored
+from .common import WORD_PATTERN, cut, pick, stored
 
 BUCKET_ROWS = 1024
-MAX_SOURCES = 100_000  # a mix is configuration-sized; more sources are an error, not dropped
+FAN = 1024  # buckets of a bucket
 
 
 def fill_targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -70,8 +71,8 @@ def _with_key(rows: DataFrame, id_col: str, text_col: str, seed: int) -> DataFra
 
 
 def _beside(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
-    """Each row beside the plan of its source; the plan has at most MAX_SOURCES rows."""
-    table = F.broadcast(rows.sparkSession.createDataFrame(plan, f"p_source string, {schema}"))
+    """Each row beside the plan of its source; Spark broadcasts the plan if it is small."""
+    table = rows.sparkSession.createDataFrame(plan, f"p_source string, {schema}")
     return rows.join(table, F.col("m_source").eqNullSafe(F.col("p_source"))).drop("p_source")
 
 
@@ -85,23 +86,14 @@ def plan_mix(keyed: DataFrame, weights: Sequence[float], share: float, most: flo
     totals = keyed.groupBy("m_source").agg(
         F.sum("m_size").alias("size"), F.count("*").alias("rows"), F.avg("m_key").alias("mean")
     )
-    found = sorted(totals.limit(MAX_SOURCES + 1).collect(), key=lambda r: (r.m_source is None, r.m_source or ""))
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"a mix of more than {MAX_SOURCES} sources")
+    # a mix is as large as its list of sources: one row a source reaches the driver
+    found = sorted(totals.collect(), key=lambda r: (r.m_source is None, r.m_source or ""))
     if not found:
         return []
     sizes = [r["size"] for r in found]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
     epochs = [int(t // s) if s else 0 for t, s in zip(targets, sizes, strict=True)]
     rest = [math.floor(t) - e * s for t, e, s in zip(targets, epochs, sizes, strict=True)]
-    buckets = [max(1, math.ceil(r["rows"] / BUCKET_ROWS)) for r in found]
-    # keys are nearly exponential: their distribution function spreads them evenly
-    spread = F.floor((1 - F.exp(-F.col("m_key") / F.col("mean"))) * F.col("buckets"))
-    placed = _beside(
-        keyed,
-        [(r.m_source, r["mean"], b, x) for r, b, x in zip(found, buckets, rest, strict=True)],
-        "mean double, buckets long, rest long",
-    ).withColumn("bucket", F.least(spread, F.col("buckets") - 1))
 
     def crossing(sums: DataFrame, by: str) -> DataFrame:
         """The row of each source where the running sum of words passes its rest."""
@@ -109,13 +101,29 @@ def plan_mix(keyed: DataFrame, weights: Sequence[float], share: float, most: flo
         sums = sums.withColumn("start", so_far - F.col("words"))
         return sums.where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("words")))
 
-    by_bucket = placed.groupBy("m_source", "bucket", "rest").agg(F.sum("m_size").alias("words"))
-    cut_at = {r.m_source: r for r in crossing(by_bucket, "bucket").collect()}
-    inside = _beside(
-        placed.select("m_source", "m_size", "m_key", "bucket"),
-        [(k, r.bucket, r.rest - r.start) for k, r in cut_at.items()],
-        "cut_bucket long, rest long",
-    ).where(F.col("bucket") == F.col("cut_bucket"))
+    # keys are nearly exponential: their distribution function spreads them evenly over [0, 1)
+    spread = 1 - F.exp(-F.col("m_key") / F.col("mean"))
+    inside = keyed.select("m_source", "m_size", "m_key")
+    parts = [(r.m_source, r["mean"], 0.0, 1.0, x, r["rows"]) for r, x in zip(found, rest, strict=True)]
+    while parts:
+        placed = _beside(inside, [p[:5] for p in parts], "mean double, low double, width double, rest long")
+        place = F.floor((spread - F.col("low")) / F.col("width") * FAN)
+        placed = placed.withColumn("bucket", F.greatest(F.lit(0), F.least(place, F.lit(FAN - 1))))
+        if max(p[5] for p in parts) <= BUCKET_ROWS:
+            break
+        sums = placed.groupBy("m_source", "bucket", "mean", "low", "width", "rest").agg(F.sum("m_size").alias("words"), F.count("*").alias("n"))
+        cuts = crossing(sums, "bucket").collect()
+        at = [(r.m_source, r.bucket) for r in cuts]
+        parts = [(r.m_source, r["mean"], r.low + r.bucket * r.width / FAN, r.width / FAN, r.rest - r.start, r.n) for r in cuts]
+        if not at:
+            break
+        chosen = placed.sparkSession.createDataFrame(at, "k_source string, k_bucket long")
+        same = F.col("m_source").eqNullSafe(F.col("k_source")) & (F.col("bucket") == F.col("k_bucket"))
+        inside = cut(placed.join(chosen, same, "left_semi").select("m_source", "m_size", "m_key"))
+        if max(p[3] for p in parts) < 1e-12:  # equal keys, which no bucket tells apart
+            placed = _beside(inside, [p[:5] for p in parts], "mean double, low double, width double, rest long")
+            break
+    inside = placed if parts else _beside(inside.limit(0), [], "rest long")
     by_key = inside.groupBy("m_source", "m_key", "rest").agg(F.sum("m_size").alias("words"), F.count("*").alias("n"))
     keys = {
         r.m_source: (r.m_key, (r.rest - r.start) // r.n, (2 * (r.rest - r.start) * r.n + r.words) // (2 * r.words), r.n)
