@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick, stored, utf8
 
-ROUNDS = 8
+ROUNDS = 40  # at most; propagation ends by itself when nothing moves
+STILL = 1000  # a round that moves less than one in so many of the linked nodes is the last
 BLOCK_ROWS = 4096  # rows numbered by one window partition
+RUN_BLOCKS = 4096  # blocks summed up by one window partition
 TICKETS = 1 << 20
 
 
@@ -117,10 +119,12 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int, capacity: int, r
         table = F.broadcast(spark.createDataFrame(quotas, "shard int, goal int, class int, tickets long"))
         ticket = F.pmod(_hashed("draw", seed=11 + turn), F.lit(TICKETS))
         moves = wishes.join(table, ["shard", "goal", "class"]).where(ticket < F.col("tickets"))
-        moves = moves.select("node", F.col("goal").alias("moved"))
+        moves = cut(moves.select("node", F.col("goal").alias("moved")))
         placed = cut(
             placed.join(moves, "node", "left").select("node", "draw", F.coalesce("moved", "shard").alias("shard"))
         )
+        if moves.count() * STILL < sum(held.values()):
+            break
     return placed
 
 
@@ -140,8 +144,15 @@ def _numbered(rows: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
     rows = rows.join(sizes, ["shard", "block"]).withColumn("part", F.pmod(_hashed("draw", seed=4), cuts).cast("int"))
     key = ["shard", "block", "part"]
     counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    # sums over runs of blocks, then over the blocks of a run
+    run = F.floor(F.col("block") / RUN_BLOCKS)
+    counts = cut(counts.withColumn("run", run))
+    runs = counts.groupBy("shard", "run").agg(F.sum("n").alias("n_run"))
+    earlier = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("shard", "run", F.coalesce(F.sum("n_run").over(earlier), F.lit(0)).alias("before"))
+    before = Window.partitionBy("shard", "run").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(runs, ["shard", "run"])
+    starts = cut(starts.select(*key, "n", (F.col("start") + F.col("before")).alias("start")))
     inside = F.row_number().over(Window.partitionBy(*key).orderBy("order", "draw", "node")) - 1
     slots = rows.drop("n").withColumn("inside", inside).join(starts.drop("n"), key)
     slots = slots.select("node", "shard", (F.col("inside") + F.col("start")).cast("long").alias("slot"))
@@ -218,7 +229,8 @@ def shard_documents(
         ),
         "shards",
     )
-    shared = facts.groupBy("hub").count().where("count > 1").select("hub")
+    # written first, so that the join by a hot hub can be split
+    shared = stored(facts.groupBy("hub").count().where("count > 1").select("hub"), "hubs")
     links = cut(facts.select("node", "hub").join(shared, "hub").select("node", "hub"))
     found = balanced_shards(facts.select("node", "draw"), links, shards)
     return facts.join(found, "node").select(

@@ -390,6 +390,20 @@ def brute_groups(ids, prints):
     return [least.get(root(k)) for k in range(len(ids))]
 
 
+def test_anchors_that_grow(spark, monkeypatch):
+    rnd = random.Random(12)
+    prints = [rnd.getrandbits(64) - (1 << 63) for _ in range(60)]
+    for p in list(prints):
+        for flips in (1, 2, 3):
+            q = (p + (1 << 63)) ^ sum(1 << b for b in rnd.sample(range(64), flips))
+            prints.append(q - (1 << 63))
+    want = {(a, b) for a in prints for b in prints if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for few in (1 << 24, 32, 1):
+        monkeypatch.setattr(simhash, "ANCHORS", few)
+        assert {tuple(r) for r in simhash.near_links(nodes).collect()} == want and len(want) >= 120
+
+
 def test_simhash(docs, texts):
     prints = [brute_fingerprint(t) for _, t in texts]
     ids = [i for i, _ in texts]
@@ -497,3 +511,56 @@ def test_empty_tables(spark, tmp_path, name):
     plain.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_mix_is_the_draw_in_key_order(spark, monkeypatch):
+    rnd = random.Random(14)
+    data = [(i, " ".join(["w"] * rnd.randint(0, 9)), rnd.choice(["a", "b", "c", None])) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    keyed = mixing._with_key(docs.toDF("m_id", "m_text", "m_source"), "m_id", "m_text", 10).collect()
+    order = sorted({r.m_source for r in keyed}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r.m_size for r in keyed if r.m_source == s) for s in order]
+    targets = mixing.fill_targets(sizes, [(3, 1, 2)[k % 3] for k in range(len(order))], 1.5, 2.0)
+    want = {}
+    for s, size, target in zip(order, sizes, targets, strict=True):
+        left = int(target) - int(target // size) * size
+        for r in sorted((r for r in keyed if r.m_source == s), key=lambda r: r.m_key):
+            part = min(left, r.m_size)
+            left -= part
+            want[r.m_id] = int(target // size) * r.m_size + part
+    for rows, fan in ((1024, 1024), (5, 4), (1, 2)):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+        monkeypatch.setattr(mixing, "FAN", fan)
+        got = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
+        assert got == want
+
+
+def test_kept_is_the_posterior(spark, docs, texts):
+    """``kept`` by the votes of plain Python and the model's own odds."""
+    stats = {i: dict(zip(quality.STATS, quality.text_stats(t), strict=True)) for i, t in texts}
+
+    def votes(row):
+        def holds(sql):
+            for name in sorted(quality.STATS, key=len, reverse=True):
+                sql = sql.replace("$" + name, str(row[name]))
+            low = re.sub(r"(\S+) between (\S+ \* \S+) and (\S+ \* \S+)", r"\2 <= \1 <= \3", sql)
+            return eval(low)
+
+        return tuple(-1 if holds(r.bad) else 1 if holds(r.good) else 0 for r in quality.RULES)
+
+    patterns = Counter(votes({n: s for n, s in zip(quality.STATS, quality.text_stats(t), strict=True)}) for _, t in texts)
+    model = quality.fit_votes(list(patterns.items()), len(quality.RULES))
+    for r in quality.quality_verdicts(docs).collect():
+        if r.doc_id is None or sum(i == r.doc_id for i, _ in texts) > 1:
+            continue
+        odds = model.prior + sum(t[v] for t, v in zip(model.terms, votes(stats[r.doc_id]), strict=True))
+        assert r.kept == (not r.base_failed and odds >= 0), r.doc_id
+
+
+def test_placement_against_a_random_one(spark):
+    """Links cut, counted over all pairs, stay below half of what an even random placement cuts."""
+    data = [(i, f"hub {i // 5}") for i in range(480)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    where = {r.doc_id: r.shard for r in sharding.shard_documents(docs, shards=4).collect()}
+    pairs = [(a, b) for a in range(480) for b in range(a) if a // 5 == b // 5]
+    assert sum(where[a] != where[b] for a, b in pairs) < len(pairs) * 3 / 8
