@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,14 +32,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    A folder of one machine would lose rows on a cluster, so none is made up.
+    Where it is unset, one process on one machine makes a folder of its own; on a
+    cluster that would lose rows and is an error.
     """
     context = spark.sparkContext
     found = context.getCheckpointDir()
     if found is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not found:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = found or tempfile.mkdtemp(prefix="earshot-")
         context.setCheckpointDir(found)
     return found
 
