@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Columns of each kind of raw table, in file order.
-COLUMNS = {
-    "user": ("user_id", "country", "age", "gender", "playcount", "registered_unixtime"),
-    "album": ("album_id", "album_name", "artist_id"),
-    "artist": ("artist_id", "artist_name"),
-    "track": ("track_id", "track_name", "artist_id"),
-    "le": ("user_id", "artist_id", "album_id", "track_id", "timestamp"),
-    "genre": ("genre_id", "genre_name"),
+# Columns of each kind of raw table, in file order, and whether they hold whole numbers.
+FIELDS = {
+    "user": {"user_id": int, "country": str, "age": int, "gender": str, "playcount": int, "registered_unixtime": int},
+    "album": {"album_id": int, "album_name": str, "artist_id": int},
+    "artist": {"artist_id": int, "artist_name": str},
+    "track": {"track_id": int, "track_name": str, "artist_id": int},
+    "le": {"user_id": int, "artist_id": int, "album_id": int, "track_id": int, "timestamp": int},
+    "genre": {"genre_id": int, "genre_name": str},
 }
-INTEGERS = frozenset(
-    "user_id age playcount registered_unixtime album_id artist_id track_id last_played genre_id timestamp".split()
-)
+COLUMNS = {kind: tuple(fields) for kind, fields in FIELDS.items()}
+INTEGERS = frozenset(name for fields in FIELDS.values() for name, kind in fields.items() if kind is int)
 # Texts read as missing.
 MISSING = ("", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "#N/A", "<NA>")
 
@@ -70,3 +69,8 @@ def invalid(raw: DataFrame) -> DataFrame:
         if c in INTEGERS:
             bad = bad | as_integer(F.col(c)).isNull()
     return raw.where(bad)
+
+
+def timestamp_seconds(column: Column) -> Column:
+    """Unix seconds of a timestamp without zone, taken as UTC."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column.cast("timestamp_ntz"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ids import positions, remap
@@ -56,15 +56,17 @@ def genres_or_default(pairs: DataFrame, artists: DataFrame, genres: DataFrame) -
     return pairs.unionByName(without.join(default))
 
 
-def structural_edges(pairs: DataFrame, src: str, dst: str, src_ids: DataFrame, dst_ids: DataFrame | None, buckets: int | None = None) -> DataFrame:
-    """(src, dst, edge_id) of raw id pairs, numbered in order of (src, dst).
-
-    Without ``dst_ids`` the destination ids are dense already.
-    """
+def structural_pairs(pairs: DataFrame, src: str, dst: str, src_ids: DataFrame, dst_ids: DataFrame | None) -> DataFrame:
+    """(src, dst) of raw id pairs in dense ids. Without ``dst_ids`` the destinations are dense already."""
     rows = remap(pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst")), src_ids, "src")
     if dst_ids is not None:
         rows = remap(rows, dst_ids, "dst")
-    return positions(rows.select("src", "dst"), ["src", "dst"], "edge_id", buckets)
+    return rows.select("src", "dst")
+
+
+def structural_edges(pairs: DataFrame, src: str, dst: str, src_ids: DataFrame, dst_ids: DataFrame | None, buckets: int | None = None) -> DataFrame:
+    """(src, dst, edge_id) of raw id pairs, numbered in order of (src, dst)."""
+    return positions(structural_pairs(pairs, src, dst, src_ids, dst_ids), ["src", "dst"], "edge_id", buckets)
 
 
 def listen_edges(dense: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -128,17 +130,7 @@ def identity_features(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_type", "node_id", F.array(F.col("node_id").cast("float")).alias("feat"))
 
 
-def vector_features(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(node_type, node_id, feat) from embeddings; nodes without one are dropped."""
-    return nodes.join(vectors, ["node_type", "node_id"]).select("node_type", "node_id", F.col("vec").alias("feat"))
-
-
-def edge_shares(edges: DataFrame) -> DataFrame:
-    """Weights as shares of their source's sum."""
-    total = F.sum("weight").over(Window.partitionBy("src"))
-    return edges.withColumn("weight", F.col("weight") / total)
-
-
-def union_edges(edges: dict[str, DataFrame], relations: Sequence[str]) -> DataFrame:
-    """(relation, src, dst, edge_id) of the named relations."""
-    return reduce(DataFrame.union, [edges[r].select(F.lit(r).alias("relation"), "src", "dst", "edge_id") for r in relations])
+def vector_features(nodes: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(node_type, node_id, feat) from embeddings; a node without one gets zeros."""
+    joined = nodes.join(vectors, ["node_type", "node_id"], "left")
+    return joined.select("node_type", "node_id", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("feat"))

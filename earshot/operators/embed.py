@@ -37,8 +37,8 @@ def sgns_loss(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return scored(pairs, vectors).agg(F.avg(-F.log(p)).alias("loss"))
 
 
-def sgns_step(pairs: DataFrame, vectors: DataFrame, dim: int, rate: float) -> DataFrame:
-    """Vectors after one step against the mean gradient of each node's pairs.
+def _mean_gradients(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(node_type, node_id, d0, d1, ...): the mean gradient of each node's pairs.
 
     Gradients are summed per node and component before the shuffle.
     """
@@ -49,21 +49,40 @@ def sgns_step(pairs: DataFrame, vectors: DataFrame, dim: int, rate: float) -> Da
             F.struct(F.col("b_type").alias("node_type"), F.col("b_id").alias("node_id"), F.col("a_vec").alias("other")),
         )
     )
-    parts = rows.select("g", ends.alias("e")).select("e.node_type", "e.node_id", *[(F.col("g") * F.get("e.other", F.lit(k))).alias(f"g{k}") for k in range(dim)])
-    sums = parts.groupBy(*NODE).agg(F.count("*").alias("n"), *[F.sum(f"g{k}").alias(f"g{k}") for k in range(dim)])
-    joined = vectors.join(sums, list(NODE), "left")
-    moved = [F.get("vec", F.lit(k)) - rate * F.coalesce(F.col(f"g{k}") / F.col("n"), F.lit(0.0)) for k in range(dim)]
+    parts = rows.select("g", ends.alias("e")).select("e.node_type", "e.node_id", *[(F.col("g") * F.get("e.other", F.lit(k))).alias(f"d{k}") for k in range(dim)])
+    return parts.groupBy(*NODE).agg(*[F.avg(f"d{k}").alias(f"d{k}") for k in range(dim)])
+
+
+def sgns_step(pairs: DataFrame, vectors: DataFrame, dim: int, rate: float) -> DataFrame:
+    """Vectors after one step against the mean gradient of each node's pairs."""
+    joined = vectors.join(_mean_gradients(pairs, vectors, dim), list(NODE), "left")
+    moved = [F.get("vec", F.lit(k)) - rate * F.coalesce(F.col(f"d{k}"), F.lit(0.0)) for k in range(dim)]
     return joined.select(*NODE, F.array(*moved).alias("vec"))
 
 
-def train(pairs: DataFrame, nodes: DataFrame, dim: int, rate: float, epochs: int, batches: int, seed: int = 5, cut=None) -> DataFrame:
-    """(node_type, node_id, vec) after ``epochs`` passes over ``batches`` batches drawn by hash."""
-    vectors = start_vectors(nodes, dim)
+def adagrad_step(pairs: DataFrame, vectors: DataFrame, dim: int, rate: float) -> DataFrame:
+    """(node_type, node_id, vec, sq) after a step scaled, per component, by the root of its squared gradients so far."""
+    told = vectors.join(_mean_gradients(pairs, vectors.select(*NODE, "vec"), dim), list(NODE), "left")
+    slope = [F.coalesce(F.col(f"d{k}"), F.lit(0.0)) for k in range(dim)]
+    sq = [F.get("sq", F.lit(k)) + slope[k] * slope[k] for k in range(dim)]
+    moved = [F.get("vec", F.lit(k)) - rate * slope[k] / F.sqrt(sq[k] + 1e-12) for k in range(dim)]
+    return told.select(*NODE, F.array(*moved).alias("vec"), F.array(*sq).alias("sq"))
+
+
+def train(
+    pairs: DataFrame, nodes: DataFrame, dim: int, rate: float = 0.1, epochs: int = 5, batches: int = 1, seed: int = 5, cut=None
+) -> DataFrame:
+    """(node_type, node_id, vec) after ``epochs`` passes of Adagrad over ``batches`` batches drawn by hash.
+
+    A step scales with each component's own gradients, so ``rate`` is about how far
+    a component moves at first, however many pairs a node has.
+    """
+    vectors = start_vectors(nodes, dim).withColumn("sq", F.array_repeat(F.lit(0.0), dim))
     batch = F.pmod(draw(F.col("a_type"), F.col("a_id"), F.col("b_type"), F.col("b_id"), F.col("label"), seed=seed), F.lit(batches))
     dealt = pairs.withColumn("_batch", batch)
     for _ in range(epochs):
         for k in range(batches):
-            vectors = sgns_step(dealt.where(F.col("_batch") == k).drop("_batch"), vectors, dim, rate)
+            vectors = adagrad_step(dealt.where(F.col("_batch") == k).drop("_batch"), vectors, dim, rate)
             if cut is not None:
                 vectors = cut(vectors)
-    return vectors
+    return vectors.select(*NODE, "vec")

@@ -4,58 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 BUCKET_ROWS = 200_000
-MOST_BUCKETS = 4096
 
 
 def buckets_for(rows: int) -> int:
-    return min(MOST_BUCKETS, rows // BUCKET_ROWS + 1)
-
-
-def _bucket(column: Column, bounds: Sequence[float], first: int = 0) -> Column:
-    """Number of bounds at or below the value, by a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    below = _bucket(column, bounds[:mid], first)
-    above = _bucket(column, bounds[mid + 1 :], first + mid + 1)
-    return F.when(column < F.lit(bounds[mid]), below).otherwise(above)
-
-
-def quantile_bounds(df: DataFrame, column: str, buckets: int | None = None) -> list:
-    """Approximate quantiles that cut a column into buckets of about BUCKET_ROWS rows."""
-    if buckets is None:
-        buckets = buckets_for(df.count())
-    if buckets < 2:
-        return []
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    found = df.agg(F.percentile_approx(column, shares, F.lit(20 * buckets)).alias("b")).first().b
-    return sorted(set(found or []))
+    return rows // BUCKET_ROWS + 1
 
 
 def positions(df: DataFrame, order: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
-    """Add the 0-based place of each row in the given order; the first column is numeric.
+    """Add the 0-based place of each row in the given order.
 
-    Rows fall in range buckets of the first column; a bucket's rows are ordered by
-    themselves and start where the buckets before end. The bounds are approximate,
-    the places exact. One count per bucket reaches the driver.
+    Rows are dealt by ranges of the whole order, equal rows by a running number
+    besides, so that no value is too frequent for a range; each range is sorted by
+    itself and starts where the ranges before end. The ranges are staged, as Spark
+    would draw others when asked again; one count per range reaches the driver.
     """
-    bounds = quantile_bounds(df, order[0], buckets)
-    if not bounds:  # a single bucket: at most about BUCKET_ROWS rows, numbered without another pass
+    if buckets is None:
+        buckets = buckets_for(df.count())
+    if buckets < 2:  # at most about BUCKET_ROWS rows, numbered without another pass
         one = Window.partitionBy(F.lit(0)).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(one) - 1).cast("long"))
-    rows = df.withColumn("_bucket", _bucket(F.col(order[0]), bounds))
+    keys = [*order, "_tie"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = staged(dealt.drop("_tie").withColumns({"_range": F.spark_partition_id(), "_inside": inside}), "ranges")
     starts, total = [], 0
-    for bucket, n in sorted(tuple(r) for r in rows.groupBy("_bucket").count().collect()):
-        starts.append((bucket, total))
+    for found, n in sorted(tuple(r) for r in dealt.groupBy("_range").count().collect()):
+        starts.append((found, total))
         total += n
-    table = df.sparkSession.createDataFrame(starts, "_bucket int, _start long")
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    placed = rows.withColumn("_inside", inside).join(F.broadcast(table), "_bucket")
-    return placed.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_bucket", "_inside", "_start")
+    table = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    placed = dealt.join(F.broadcast(table), "_range")  # one row per range
+    return placed.withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
 
 
 def dense_ids(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
@@ -73,17 +57,13 @@ def remap(df: DataFrame, mapping: DataFrame, column: str, name: str | None = Non
     return joined.select(*kept, F.col("_node").alias(name))
 
 
-def ranked_within(df: DataFrame, group: str, order: Sequence[str], name: str, buckets: int = 64) -> DataFrame:
-    """Add the 0-based rank within a group, without gathering a large group in a task.
+def ranked_within(df: DataFrame, group: str, order: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
+    """Add the 0-based rank within a group: the place among all rows less that of the group's first.
 
-    A group's rows are cut by quantiles of the first order column over all rows;
-    ranks start where the group's earlier cuts end.
+    No group is gathered in a task, however large.
     """
-    bounds = quantile_bounds(df, order[0], buckets)
-    rows = df.withColumn("_cut", _bucket(F.col(order[0]), bounds))
-    before = Window.partitionBy(group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(group, "_cut").agg(F.count("*").alias("_n"))
-    starts = sizes.select(group, "_cut", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(group, "_cut").orderBy(*order)) - 1
-    placed = rows.withColumn("_inside", inside).join(starts, [group, "_cut"])
-    return placed.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_cut", "_inside", "_start")
+    placed = positions(df, [group, *order], "_place", buckets)
+    starts = placed.groupBy(group).agg(F.min("_place").alias("_start"))
+    starts = staged(starts, "starts").select(F.col(group).alias("_group"), "_start")
+    ranked = placed.join(starts, F.col(group).eqNullSafe(F.col("_group")))
+    return ranked.withColumn(name, F.col("_place") - F.col("_start")).drop("_place", "_group", "_start")

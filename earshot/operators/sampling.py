@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ids import ranked_within
+
 # Shares in thousandths of a percent.
 COUNTRIES = {
     "US": 18581,
@@ -78,8 +80,9 @@ def seeded_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
 def stratified_sample(users: DataFrame, column: str, quota: dict[str, int], seed: int) -> DataFrame:
     """The first so many users of each value in seeded order, with their place."""
     table = users.sparkSession.createDataFrame(list(quota.items()), f"{column} string, quota long")
-    place = F.row_number().over(Window.partitionBy(column).orderBy(seeded_key("user_id", seed)))
-    ranked = users.withColumn("place", place).join(F.broadcast(table), column)
+    keyed = seeded_order(users.select("user_id", column), "user_id", seed)
+    ranked = ranked_within(keyed, column, ["order_key"], "rank").withColumn("place", F.col("rank") + 1)
+    ranked = ranked.join(F.broadcast(table), column)  # one row per value
     return ranked.where("place <= quota").select("user_id", column, F.col("place").cast("long").alias("place"))
 
 

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 import re
 
+from ..functions.schemas import FIELDS
 from ..operators.sampling import MARGINS
 from ..sources import adapter
 
-INTEGERS = {
-    "artist": ("artist_id",),
-    "album": ("album_id", "artist_id"),
-    "track": ("track_id", "artist_id"),
-    "user": ("user_id", "age", "playcount", "registered_unixtime"),
-    "le": ("user_id", "artist_id", "album_id", "track_id", "timestamp"),
-}
+INTEGERS = {kind: tuple(c for c, t in FIELDS[kind].items() if t is int) for kind in ("artist", "album", "track", "user", "le")}
 TEXTS = {"artist": ("artist_name",), "album": ("album_name",), "track": ("track_name",), "user": ("country", "gender"), "le": ()}
 RAW = {"artist": "artists_raw", "album": "albums_raw", "track": "tracks_raw", "user": "users_raw", "le": "les_raw"}
 
@@ -87,9 +82,18 @@ CTES |= {
     "preformed": "select dst as src, src as dst, edge_id from preformed_by",
 }
 
-WALK_PATH = ("listened_to_artist", "in_genre", "is_genre_of", "artist_listened_by")
-WALK_ENDS = ("user", "artist", "genre", "artist", "user")
-WALK_LENGTH, WALKS, WINDOW, NEGATIVES = 4, 2, 3, 2
+WALK_PATH = (
+    "listened_to_track",
+    "track_listened_by",
+    "listened_to_album",
+    "album_listened_by",
+    "listened_to_artist",
+    "in_genre",
+    "is_genre_of",
+    "artist_listened_by",
+)
+WALK_ENDS = ("user", "track", "user", "album", "user", "artist", "genre", "artist", "user")
+WALK_LENGTH, WALKS, WINDOW, NEGATIVES = 8, 3, 7, 10
 for relation in WALK_PATH:
     CTES[f"near_{relation}"] = (
         "select src, dst, row_number() over (partition by src order by dst, edge_id) - 1 as rank, "
@@ -108,6 +112,13 @@ CTES["node_sizes"] = " union all ".join(
     f"select '{k}' as node_type, count(*) as n from {k}_ids" for k in ("user", "artist", "album", "track", "genre")
 )
 
+for kind in ("artist", "album", "track"):
+    CTES[f"shares_listened_to_{kind}"] = (
+        'select "user" as src, item as dst, row_number() over (order by "user", item) - 1 as edge_id, '
+        f'plays / sum(plays) over (partition by "user") as weight from plays_{kind}'
+    )
+    CTES[f"shares_{kind}_listened_by"] = f"select dst as src, src as dst, edge_id, weight from shares_listened_to_{kind}"
+
 DIM, RATE = 4, 0.5
 CTES["sgns_pairs"] = (
     "select 'user' as a_type, \"user\" as a_id, 'artist' as b_type, item as b_id, 1 as label from plays_artist union all "
@@ -156,6 +167,26 @@ CTES["quota"] = (
 )
 
 
+# the joint sample: users one by one, quotas as lists in order of their values
+for _margin in MARGINS:
+    CTES[f"{_margin}_quota"] = f"select list(quota order by value) as q, list(value order by value) as v from quota where margin = '{_margin}'"
+CTES["quota_queue"] = (
+    "select user_id, country, gender, age_key, row_number() over (order by md5('17:' || cast(user_id as varchar))) as turn, "
+    + ", ".join(f"list_position((select v from {m}_quota), {m}) as at_{m}" for m in MARGINS)
+    + " from eligible_u"
+)
+CTES["quota_turns"] = (
+    "select 0::bigint as turn, false as taken, " + ", ".join(f"(select q from {m}_quota) as q_{m}" for m in MARGINS) + " union all "
+    "select u.turn, " + " and ".join(f"q_{m}[at_{m}] > 0" for m in MARGINS) + ", "
+    + ", ".join(
+        f"list_transform(q_{m}, lambda x, i: x - case when i = at_{m} and {' and '.join(f'q_{o}[at_{o}] > 0' for o in MARGINS)} then 1 else 0 end)"
+        for m in MARGINS
+    )
+    + " from quota_turns t join quota_queue u on u.turn = t.turn + 1"
+)
+CTES["quota_sample"] = "select user_id, country, gender, age_key from quota_queue join (select turn, taken from quota_turns) using (turn) where taken"
+
+
 def closed(select: str) -> str:
     """The statement behind all the common table expressions it needs, in order of need."""
     order: list[str] = []
@@ -172,4 +203,5 @@ def closed(select: str) -> str:
     need(select)
     if not order:
         return select
-    return "with " + ",\n".join(f"{name} as (\n{CTES[name]}\n)" for name in order) + "\n" + select
+    how = lambda name: "" if name == "quota_turns" else "materialized "  # noqa: E731 - a recursive table cannot be
+    return "with recursive " + ",\n".join(f"{name} as {how(name)}(\n{CTES[name]}\n)" for name in order) + "\n" + select

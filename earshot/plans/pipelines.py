@@ -25,36 +25,46 @@ from ..operators.edges import (
 from ..operators.ids import buckets_for, dense_ids
 from ..operators.playcount import dense_events, popular_artists, popularity
 from ..operators.sampling import COUNTRIES, GENDERS, quota_sample
-from ..sources.store import staged
+from ..sources.staging import staged
 
 Tables = dict[str, DataFrame]
+ITEMS = ("artist", "album", "track")
+KINDS = (*ITEMS, "le", "user")
 
 
-def clean_all(tables: Tables, users: DataFrame | None = None, popular_sigmas: float | None = None, restrict_to_events: bool = False) -> Tables:
-    """Close typed tables (artist, album, track, le, user) under one another.
+def clean_all(
+    tables: Tables,
+    users: DataFrame | None = None,
+    popular_sigmas: float | None = None,
+    restrict_to_events: bool = False,
+    kinds: Sequence[str] = KINDS,
+) -> Tables:
+    """Close typed tables (artist, album, track, le, user) under one another; give those of ``kinds``.
 
     One pass is enough: whether a row is named does not depend on the artists kept.
     ``users`` (user_id) makes a subset; ``popular_sigmas`` keeps artists that much
     above the mean; ``restrict_to_events`` keeps only entities that events name.
+    Named entities are staged once; so are events if several tables depend on them.
     """
-    artists = C.named(tables["artist"], "artist_id", "artist_name")
-    albums = C.named(tables["album"], "album_id", "album_name")
-    tracks = C.named(tables["track"], "track_id", "track_name")
-    good = C.good_artist_ids(artists, albums, tracks)
+    names = {k: staged(C.named(tables[k], f"{k}_id", f"{k}_name"), f"named-{k}") for k in ITEMS}
+    good = C.good_artist_ids(names["artist"], names["album"], names["track"])
     if popular_sigmas is not None:
-        plays = popularity(tables["artist"], tables["le"])
+        plays = staged(popularity(tables["artist"], tables["le"]), "plays")  # read for the cutoff and beside it
         good = C.keep_ids(good, popular_artists(plays, popular_sigmas), "artist_id")
     good = staged(good, "good-artists")  # read by every table below
-    kept = {k: C.keep_ids(d, good, "artist_id") for k, d in (("artist", artists), ("album", albums), ("track", tracks))}
-    keys = {"artist_id": good, "album_id": kept["album"].select("album_id"), "track_id": kept["track"].select("track_id")}
-    if users is not None:
-        keys["user_id"] = users.select("user_id")
-    events = C.filter_events(tables["le"], keys)
-    if restrict_to_events:
-        for kind in ("artist", "album", "track"):
-            kept[kind] = C.keep_ids(kept[kind], events.select(f"{kind}_id"), f"{kind}_id")
-    people = C.fill_attributes(C.active_users(tables["user"], events))
-    return kept | {"le": events, "user": people}
+    kept = {k: C.keep_ids(d, good, "artist_id") for k, d in names.items()}
+    wanted = set(kinds)
+    if wanted & {"le", "user"} or restrict_to_events:
+        keys = {"artist_id": good, "album_id": kept["album"].select("album_id"), "track_id": kept["track"].select("track_id")}
+        if users is not None:
+            keys["user_id"] = users.select("user_id")
+        events = C.filter_events(tables["le"], keys)
+        if restrict_to_events or wanted >= {"le", "user"}:
+            events = staged(events, "clean-le")
+        if restrict_to_events:
+            kept = {k: C.keep_ids(d, events.select(f"{k}_id"), f"{k}_id") for k, d in kept.items()}
+        kept |= {"le": events, "user": C.fill_attributes(C.active_users(tables["user"], events))}
+    return {k: kept[k] for k in kinds}
 
 
 def subset_users(users: DataFrame, n: int, seed: int) -> DataFrame:
@@ -62,7 +72,7 @@ def subset_users(users: DataFrame, n: int, seed: int) -> DataFrame:
     return quota_sample(C.eligible(C.user_profile(users, list(COUNTRIES), list(GENDERS))), n, seed)
 
 
-def stage_tables(cleaned: Tables, kinds: Sequence[str] = ("artist", "album", "track", "le", "user")) -> Tables:
+def stage_tables(cleaned: Tables, kinds: Sequence[str] = KINDS) -> Tables:
     """The cleaned tables written once; what follows reads them many times."""
     return {k: staged(cleaned[k], f"clean-{k}") for k in kinds}
 
@@ -87,23 +97,16 @@ def build_graph(
 
     ``cleaned`` should be staged: relations read the same tables.
     """
-    wanted = set(relations_of(artists, albums, tracks) if relations is None else relations)
-    wanted |= {r for r, back in REVERSE.items() if back in wanted}
-    kinds = ["user", *(k for k, on in (("artist", artists), ("album", albums), ("track", tracks)) if on)]
-    if relations is not None:
-        kinds = [k for k in kinds if any(k in RELATIONS[r] for r in wanted)]
-    ids = {k: numbered(cleaned, k) for k in kinds}
+    wanted, kinds = _wanted(artists, albums, tracks, relations)
+    ids = {k: staged(numbered(cleaned, k), f"ids-{k}") for k in kinds}
     if artists:
         ids["genre"] = genres.select(F.col("genre_id").alias("raw_id"), F.col("genre_id").alias("node_id"))
-    sizes = {k: buckets_for(cleaned[k].count()) for k in kinds if k != "user"}
     edges: dict[str, DataFrame] = {}
-    if "in_genre" in wanted:
-        edges["in_genre"] = genre_edges(cleaned["artist"], genre_lines, genres, ids["artist"], sizes["artist"])
-    if "produced" in wanted:
-        edges["produced"] = structural_edges(cleaned["album"], "artist_id", "album_id", ids["artist"], ids["album"], sizes["album"])
-    if "preformed_by" in wanted:
-        edges["preformed_by"] = structural_edges(cleaned["track"], "track_id", "artist_id", ids["track"], ids["artist"], sizes["track"])
-    for item in ("artist", "album", "track"):
+    for relation, pairs in _structural(cleaned, genre_lines, genres, wanted).items():
+        ends = [ids[k] if k != "genre" else None for k in RELATIONS[relation]]
+        table = {"in_genre": "artist", "produced": "album", "preformed_by": "track"}[relation]
+        edges[relation] = structural_edges(pairs, "src", "dst", *ends, buckets_for(cleaned[table].count()))
+    for item in ITEMS:
         if f"listened_to_{item}" in wanted:
             buckets = buckets_for(cleaned["le"].count())
             dense = dense_events(cleaned["le"], ids["user"], ids[item], item)
@@ -113,9 +116,62 @@ def build_graph(
     return Graph({k: ids[k] for k in sorted(ids)}, {r: edges[r] for r in sorted(edges)})
 
 
-def genre_edges(artists: DataFrame, genre_lines: DataFrame, genres: DataFrame, ids: DataFrame, buckets: int | None = None) -> DataFrame:
-    pairs = genres_or_default(genres_by_name(genre_lines, artists), artists, genres)
-    return structural_edges(pairs, "artist_id", "genre_id", ids, None, buckets)
+def _wanted(artists: bool, albums: bool, tracks: bool, relations: Sequence[str] | None) -> tuple[set[str], list[str]]:
+    """Relations, backward ones with their forward ones, and the node types but genres."""
+    wanted = set(relations_of(artists, albums, tracks) if relations is None else relations)
+    wanted |= {r for r, back in REVERSE.items() if back in wanted}
+    kinds = ["user", *(k for k, on in (("artist", artists), ("album", albums), ("track", tracks)) if on)]
+    if relations is not None:
+        kinds = [k for k in kinds if any(k in RELATIONS[r] for r in wanted)]
+    return wanted, kinds
+
+
+def _structural(cleaned: Tables, genre_lines: DataFrame, genres: DataFrame, wanted: set[str]) -> dict[str, DataFrame]:
+    """(src, dst) in raw ids of the asked relations between entities."""
+    found: dict[str, DataFrame] = {}
+    if "in_genre" in wanted:
+        artists = cleaned["artist"]
+        found["in_genre"] = genres_or_default(genres_by_name(genre_lines, artists), artists, genres).toDF("src", "dst")
+    if "produced" in wanted:
+        found["produced"] = cleaned["album"].select(F.col("artist_id").alias("src"), F.col("album_id").alias("dst"))
+    if "preformed_by" in wanted:
+        found["preformed_by"] = cleaned["track"].select(F.col("track_id").alias("src"), F.col("artist_id").alias("dst"))
+    return found
+
+
+def count_edges(
+    cleaned: Tables,
+    genre_lines: DataFrame,
+    genres: DataFrame,
+    artists: bool = True,
+    albums: bool = True,
+    tracks: bool = True,
+) -> DataFrame:
+    """(relation, n) of the event graph, without numbering a node or an edge.
+
+    Ends are held against the cleaned tables by semi joins; events are read once
+    for all relations.
+    """
+    wanted, kinds = _wanted(artists, albums, tracks, None)
+    known = {k: cleaned[k].select(f"{k}_id").where(f"{k}_id is not null").distinct() for k in kinds}
+    parts = []
+    for relation, pairs in _structural(cleaned, genre_lines, genres, wanted).items():
+        for end, kind in zip(("src", "dst"), RELATIONS[relation], strict=True):
+            if kind in known:
+                pairs = C.keep_ids(pairs, known[kind], end)
+        parts.append(pairs.select(F.lit(relation).alias("relation")))
+    items = [k for k in ITEMS if f"listened_to_{k}" in wanted]
+    heard = C.keep_ids(cleaned["le"], known["user"], "user_id").select(*[f"{k}_id" for k in items])
+    for k in items:
+        ids = known[k].select(F.col(f"{k}_id").alias(f"_{k}"))
+        heard = heard.join(ids, F.col(f"{k}_id") == F.col(f"_{k}"), "left")
+    parts.append(heard.select(F.explode(F.array(*[F.when(F.col(f"_{k}").isNotNull(), f"listened_to_{k}") for k in items])).alias("relation")).where("relation is not null"))
+    counts = union_all(parts).groupBy("relation").agg(F.count("*").alias("n"))
+    # a relation without edges counts as none, and each backward relation as its forward one
+    names = cleaned["le"].sparkSession.createDataFrame([(r, back) for r, back in REVERSE.items() if r in wanted], "forward string, back string")
+    both = F.broadcast(names).join(counts, F.col("forward") == F.col("relation"), "left")
+    n = F.coalesce("n", F.lit(0))
+    return both.select(F.explode(F.array("forward", "back")).alias("relation"), n.alias("n")).where("n > 0")
 
 
 def embedding_pairs(graph: Graph, length: int, window: int, per_node: int, negatives: int, cut=None) -> DataFrame:
@@ -139,7 +195,7 @@ def embed_graph(
     window: int = 7,
     per_node: int = 3,
     negatives: int = 10,
-    rate: float = 0.001,
+    rate: float = 0.1,
     epochs: int = 5,
     batches: int = 1,
     cut=None,

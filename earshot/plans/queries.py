@@ -14,10 +14,10 @@ from ..operators import embed, encode, playcount, sampling, walks
 from ..operators.edges import RELATIONS, REVERSE, Graph, genres_by_name, genres_or_default, identity_features, relations_of
 from ..operators.ids import dense_ids, remap
 from ..sources import adapter
-from ..sources.store import staged
+from ..sources.staging import staged
 from ..sources.raw import genre_dictionary, genre_lines, row_count
 from . import oracles as O
-from .pipelines import build_graph, clean_all, embed_graph, numbered, stage_tables, subset_users, union_all
+from .pipelines import KINDS, build_graph, clean_all, count_edges, embed_graph, numbered, stage_tables, subset_users, union_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,8 +48,8 @@ def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {kind: _table(spark, d, kind) for kind in O.RAW}
 
 
-def _clean(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return clean_all(_tables(spark, d))
+def _clean(spark: SparkSession, d: str, *kinds: str) -> dict[str, DataFrame]:
+    return clean_all(_tables(spark, d), kinds=kinds or KINDS)
 
 
 def _named(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -61,7 +61,7 @@ def _genres(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _staged(spark: SparkSession, d: str, *kinds: str) -> dict[str, DataFrame]:
-    return stage_tables(_clean(spark, d), kinds)
+    return stage_tables(_clean(spark, d, *kinds), kinds)
 
 
 def _graph(spark: SparkSession, d: str, kinds: tuple[str, ...] = ITEMS, **options) -> Graph:
@@ -188,7 +188,7 @@ def filter_events(spark: SparkSession, d: str) -> DataFrame:
 
 @register("active_users", "select * from user_active")
 def active_users(spark: SparkSession, d: str) -> DataFrame:
-    return C.active_users(_table(spark, d, "user"), _clean(spark, d)["le"])
+    return C.active_users(_table(spark, d, "user"), _clean(spark, d, "le")["le"])
 
 
 @register("remap_ids", "select node_id as artist_id, album_id, album_name from album_c join artist_ids on artist_id = raw_id")
@@ -204,12 +204,12 @@ def events_dense(spark: SparkSession, d: str) -> DataFrame:
 
 @register("artist_genre_named", "select artist_id, genre_id from genre_named")
 def artist_genre_named(spark: SparkSession, d: str) -> DataFrame:
-    return genres_by_name(adapter.raw(spark, d, "artist_genre_raw"), _clean(spark, d)["artist"])
+    return genres_by_name(adapter.raw(spark, d, "artist_genre_raw"), _clean(spark, d, "artist")["artist"])
 
 
 @register("artist_genre_default", "select artist_id, genre_id from genre_pairs")
 def artist_genre_default(spark: SparkSession, d: str) -> DataFrame:
-    artists = _clean(spark, d)["artist"]
+    artists = _clean(spark, d, "artist")["artist"]
     pairs = genres_by_name(adapter.raw(spark, d, "artist_genre_raw"), artists)
     return genres_or_default(pairs, artists, _genres(spark, d))
 
@@ -262,7 +262,7 @@ def node_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("edge_counts", " union all ".join(f"select '{r}' as relation, count(*) as n from {r}" for r in RELATIONS))
 def edge_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).edge_counts()
+    return _combination(ITEMS, spark, d)
 
 
 @register(
@@ -271,7 +271,7 @@ def edge_counts(spark: SparkSession, d: str) -> DataFrame:
     "(select count(distinct artist_id) from album_c) as n_albums, (select count(distinct artist_id) from track_c) as n_tracks) x",
 )
 def closure_check(spark: SparkSession, d: str) -> DataFrame:
-    cleaned = _clean(spark, d)
+    cleaned = _clean(spark, d, *ITEMS)
     return C.closure_check(*(cleaned[k] for k in ITEMS))
 
 
@@ -319,7 +319,7 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_sample(people, "country", quota, SEED)
 
 
-@register("quota_sample_users")
+@register("quota_sample_users", "select user_id, country, gender, age_key from quota_sample")
 def quota_sample_users(spark: SparkSession, d: str) -> DataFrame:
     people = _eligible(spark, d)
     return sampling.quota_sample(people, people.count() // 4, SEED)
@@ -370,7 +370,7 @@ def _ids(kind: str, spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cleaned(kind: str, spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, d)[kind]
+    return _clean(spark, d, kind)[kind]
 
 
 for _kind in O.RAW:
@@ -381,7 +381,8 @@ for _kind in O.RAW:
 
 
 def _combination(kinds: tuple[str, ...], spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d, kinds).edge_counts()
+    cleaned = _staged(spark, d, "le", "user", *kinds)
+    return count_edges(cleaned, adapter.raw(spark, d, "artist_genre_raw"), _genres(spark, d), *(k in kinds for k in ITEMS))
 
 
 for _kinds in (("artist",), ("album",), ("track",), ("artist", "album"), ("artist", "track"), ("album", "track"), ITEMS):
@@ -411,7 +412,16 @@ def node_features_identity(spark: SparkSession, d: str) -> DataFrame:
     return identity_features(_graph(spark, d).node_table())
 
 
-@register("build_graph")
+@register(
+    "build_graph",
+    " union all ".join(
+        f"select '{r}' as relation, src, dst, edge_id, "
+        + ("weight" if "listened" in r else "null::double as weight")
+        + " from "
+        + (f"shares_{r}" if "listened" in r else r)
+        for r in RELATIONS
+    ),
+)
 def build_graph_query(spark: SparkSession, d: str) -> DataFrame:
     """Every edge of the full weighted graph."""
     graph = _graph(spark, d, weighted=True, normalize=True)
@@ -426,14 +436,14 @@ def build_graph_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _starts(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
-    graph = _graph(spark, d, ("artist",))
+    graph = _graph(spark, d)
     return graph, graph.nodes["user"].select("node_id")
 
 
 @register("metapath_walks", "select walk_id, step, node_type, node_id from walk_steps")
 def metapath_walks(spark: SparkSession, d: str) -> DataFrame:
     graph, starts = _starts(spark, d)
-    return walks.walks(starts, graph.edges, walks.metapath(["artist"]), O.WALK_LENGTH, O.WALKS, cut=lambda df: staged(df, "walk"))
+    return walks.walks(starts, graph.edges, walks.metapath(ITEMS), O.WALK_LENGTH, O.WALKS, cut=lambda df: staged(df, "walk"))
 
 
 @register(
@@ -451,13 +461,13 @@ def walk_contexts(spark: SparkSession, d: str) -> DataFrame:
     "select walk_id, negative, step, node_type, case when step = 0 then start else "
     + O.draw("walk_id", "negative", "step", seed=11)
     + f" % n end as node_id from (select node_id * {O.WALKS} + copy as walk_id, node_id as start, negative, step, "
-    "case step % 4 when 0 then 'user' when 1 then 'artist' when 2 then 'genre' else 'artist' end as node_type "
+    f"case step % {len(O.WALK_PATH)} {' '.join(f"when {k} then '{t}'" for k, t in enumerate(O.WALK_ENDS[:-1]))} end as node_type "
     f"from user_ids, range({O.WALKS}) c(copy), range({O.NEGATIVES}) g(negative), range({O.WALK_LENGTH + 1}) s(step)) w join node_sizes using (node_type)",
 )
 def negative_walks(spark: SparkSession, d: str) -> DataFrame:
     graph, starts = _starts(spark, d)
     counts = {r.node_type: r.n for r in graph.node_counts().collect()}
-    return walks.negative_walks(starts, counts, walks.metapath(["artist"]), O.WALK_LENGTH, O.WALKS, O.NEGATIVES)
+    return walks.negative_walks(starts, counts, walks.metapath(ITEMS), O.WALK_LENGTH, O.WALKS, O.NEGATIVES)
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -485,7 +495,8 @@ def sgns_step(spark: SparkSession, d: str) -> DataFrame:
 
 @register("node_embeddings")
 def node_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return embed_graph(_starts(spark, d)[0], dim=4, length=4, window=3, per_node=1, negatives=2, rate=0.5, epochs=2, cut=lambda df: staged(df, "walk"))
+    """Vectors of all nodes of the full graph, from walks once round its metapath; all else by default."""
+    return embed_graph(_graph(spark, d), length=O.WALK_LENGTH, cut=lambda df: staged(df, "walk"))
 
 
 # Encoders
@@ -510,11 +521,10 @@ def encode_categorical(spark: SparkSession, d: str) -> DataFrame:
     "encode_text",
     "with w as (select doc_id, unnest(string_split(lower(text), ' ')) as word from documents), "
     "c as (select doc_id, cast('0x' || substr(md5(word), 1, 8) as bigint) % 16 as b, count(*) as n from w where word <> '' group by all), "
-    "g as (select doc_id, k, coalesce(n, 0)::double as n from (select distinct doc_id from c) x cross join range(16) r(k) left join c using (doc_id) "
-    "where c.b = k or c.b is null union all select doc_id, k, 0 from (select distinct doc_id from c) x cross join range(16) r(k) "
-    "where not exists (select 1 from c where c.doc_id = x.doc_id and c.b = k)), "
+    "g as (select x.doc_id, k, coalesce(n, 0)::double as n from (select distinct doc_id from documents) x cross join range(16) r(k) "
+    "left join c on c.doc_id = x.doc_id and c.b = k), "
     "s as (select doc_id, sqrt(sum(n * n)) as norm from g group by doc_id) "
-    "select doc_id, list(round(n / norm, 6) order by k) as vec from g join s using (doc_id) group by doc_id",
+    "select doc_id, list(case when norm > 0 then round(n / norm, 6) else 0 end order by k) as vec from g join s using (doc_id) group by doc_id",
 )
 def encode_text(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_text(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", 16)
@@ -523,11 +533,11 @@ def encode_text(spark: SparkSession, d: str) -> DataFrame:
 # Subsets
 
 
-@register("subset_events")
+@register("subset_events", "select * from le_c where user_id in (select user_id from quota_sample)")
 def subset_events(spark: SparkSession, d: str) -> DataFrame:
     users = _table(spark, d, "user")
     picked = subset_users(users, C.eligible(_profile(spark, d)).count() // 4, SEED)
-    return clean_all(_tables(spark, d), users=picked)["le"]
+    return clean_all(_tables(spark, d), users=picked, kinds=("le",))["le"]
 
 
 @register(
@@ -537,4 +547,4 @@ def subset_events(spark: SparkSession, d: str) -> DataFrame:
     "and track_id in (select track_id from track_n where artist_id in (select artist_id from good_popular))",
 )
 def clean_events_popular(spark: SparkSession, d: str) -> DataFrame:
-    return clean_all(_tables(spark, d), popular_sigmas=1.0)["le"]
+    return clean_all(_tables(spark, d), popular_sigmas=1.0, kinds=("le",))["le"]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.edges import REVERSE, Graph, reverse
+
 
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Write a cleaned table as Parquet or as tab-separated text with a header, over what was there."""
@@ -21,20 +22,6 @@ def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
         raise ValueError(f"unknown form: {form!r}")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The table written once in the folder that executors share, and read back.
-
-    What several steps read is computed once and outlives lost executors.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="earshot-"))
-    path = f"{context.getCheckpointDir()}/earshot-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Can a Parquet table be read at the path? Works on any store that Spark reads."""
     try:
@@ -56,6 +43,39 @@ def read_edges(spark: SparkSession, path: str, relations: Sequence[str] | None =
     return found if relations is None else found.where(F.col("relation").isin(*relations))
 
 
+def write_graph(graph: Graph, path: str) -> None:
+    """Node ids, edges and counts of a graph; the table of counts comes last and marks it complete."""
+    nodes = {kind: df.select("raw_id", "node_id") for kind, df in graph.nodes.items()}
+    for kind, df in nodes.items():
+        df.write.mode("overwrite").parquet(f"{path}/nodes/node_type={kind}")
+    forward = {r: df for r, df in graph.edges.items() if r not in REVERSE.values()}
+    write_edges(forward, f"{path}/edges")
+    spark = next(iter(graph.nodes.values())).sparkSession
+    counts = Graph(
+        {k: spark.read.parquet(f"{path}/nodes/node_type={k}") for k in nodes},
+        {r: spark.read.parquet(f"{path}/edges/relation={r}") for r in forward},
+    )
+    parts = [("node", counts.node_counts()), ("edge", counts.edge_counts() if forward else None)]
+    tables = [df.toDF("name", "n").select(F.lit(part).alias("part"), "name", "n") for part, df in parts if df is not None]
+    reduce(DataFrame.union, tables).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def graph_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, name, n) of a stored graph: rows per node type and per forward relation."""
+    return spark.read.parquet(f"{path}/counts")
+
+
+def load_graph(spark: SparkSession, path: str) -> Graph:
+    """A stored graph; its tables are read only where used. Backward relations are turned edges."""
+    names: dict[str, list[str]] = {"node": [], "edge": []}
+    for row in graph_counts(spark, path).collect():  # one row per node type and relation
+        names[row.part].append(row.name)
+    nodes = {k: spark.read.parquet(f"{path}/nodes/node_type={k}") for k in sorted(names["node"])}
+    edges = {r: spark.read.parquet(f"{path}/edges/relation={r}") for r in names["edge"]}
+    edges |= {REVERSE[r]: reverse(df) for r, df in list(edges.items())}
+    return Graph(nodes, {r: edges[r] for r in sorted(edges)})
+
+
 def built_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], overwrite: bool = False) -> DataFrame:
     """The table at the path, built and written first if it is missing or to be overwritten."""
     if overwrite or not exists(spark, path):

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from earshot.operators import embed, sampling, walks
-from earshot.operators.edges import RELATIONS, listen_edges, relations_of, reverse, weighted_edges
+from earshot.operators.edges import RELATIONS, Graph, listen_edges, relations_of, reverse, weighted_edges
 from earshot.operators.ids import dense_ids, positions, ranked_within
-from earshot.sources import store
+from earshot.sources import staging, store
 
 
 def test_dense_ids_do_not_depend_on_buckets(spark):
@@ -124,10 +124,54 @@ def test_training_lowers_the_loss(spark):
     )
     nodes = spark.createDataFrame([(t, i) for t in "ua" for i in range(4)], "node_type string, node_id long")
     before = embed.sgns_loss(pairs, embed.start_vectors(nodes, 4)).first().loss
-    after = embed.sgns_loss(pairs, embed.train(pairs, nodes, 4, 0.5, 3, 1, cut=lambda d: store.staged(d, "vec"))).first().loss
+    after = embed.sgns_loss(pairs, embed.train(pairs, nodes, 4, 0.5, 3, 1, cut=lambda d: staging.staged(d, "vec"))).first().loss
     assert after < before
 
 
+def test_default_training_lowers_the_loss(spark):
+    pairs = spark.createDataFrame(
+        [("u", i % 9, "a", i % 9, 1) for i in range(45)] + [("u", i % 9, "a", (i * 4 + 1) % 9, 0) for i in range(45)],
+        "a_type string, a_id long, b_type string, b_id long, label int",
+    )
+    nodes = spark.createDataFrame([(t, i) for t in "ua" for i in range(9)], "node_type string, node_id long")
+    before = embed.sgns_loss(pairs, embed.start_vectors(nodes, 8)).first().loss
+    after = embed.sgns_loss(pairs, embed.train(pairs, nodes, 8, cut=lambda d: staging.staged(d, "vec"))).first().loss
+    assert after < 0.95 * before
+
+
+def test_positions_of_a_hot_value(spark):
+    df = spark.range(1000).selectExpr("7L as src", "id % 3 as dst")
+    placed = positions(df, ["src", "dst"], "p", 8)
+    rows = placed.collect()
+    assert sorted(r.p for r in rows) == list(range(1000)) and [r.dst for r in sorted(rows, key=lambda r: r.p)] == sorted(r.dst for r in rows)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_ranges_of_a_hot_value_are_even(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr("earshot.operators.ids.staged", lambda d, n: kept.append(staging.staged(d, n)) or kept[-1])
+    positions(spark.range(4000).selectExpr("1L as src"), ["src"], "p", 8)
+    assert max(r["count"] for r in kept[0].groupBy("_range").count().collect()) < 1500
+
+
+def test_graph_round_trip(spark, tmp_path):
+    ids = {k: spark.createDataFrame([(10 + i, i) for i in range(2)], "raw_id long, node_id long") for k in ("user", "artist")}
+    forward = listen_edges(events(spark))
+    graph = Graph(ids, {"listened_to_artist": forward, "artist_listened_by": reverse(forward)})
+    store.write_graph(graph, str(tmp_path / "g"))
+    again = store.load_graph(spark, str(tmp_path / "g"))
+    assert sorted(again.nodes) == ["artist", "user"] and sorted(again.edges) == ["artist_listened_by", "listened_to_artist"]
+    assert {(r.part, r.name): r.n for r in store.graph_counts(spark, str(tmp_path / "g")).collect()} == {
+        ("node", "user"): 2,
+        ("node", "artist"): 2,
+        ("edge", "listened_to_artist"): 4,
+    }
+    for r, df in graph.edges.items():
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, again.edges[r].select(*df.columns).collect()))
+    assert all(r.bad_src == r.bad_dst == 0 for r in again.validate().collect())
+
+
 def test_positions_with_ties(spark):
     df = spark.createDataFrame([(1, 1)] * 5 + [(2, 1)] * 3, "a long, b long")
     assert sorted(r.p for r in positions(df, ["a", "b"], "p", 4).collect()) == list(range(8))

@@ -23,3 +23,15 @@ def test_entry_without_the_subpackage(tmp_path):
     n, whole = shown(tmp_path)
     assert int(n) > 70 and whole == "True"
     assert int(shown(ROOT)[0]) >= int(n)
+
+
+def test_entry_without_a_library(tmp_path):
+    """A machine that lacks a library of the subpackage keeps all other queries."""
+    shutil.copytree(f"{ROOT}/earshot", tmp_path / "earshot", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{ROOT}/{name}"):
+            shutil.copy(f"{ROOT}/{name}", tmp_path)
+    for name in ("tokenizers", "public_tokenizers"):
+        (tmp_path / f"{name}.py").write_text(f"raise ModuleNotFoundError('hidden', name='{name}')\n")
+    n, whole = shown(tmp_path)
+    assert int(n) > 70 and whole == "True"
