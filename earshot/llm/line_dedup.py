@@ -2,7 +2,7 @@
 
 Each line key is known by a 128-bit hash. A task gives the hashes of its rows' keys
 once each; those it sees in two rows itself are suspected at once. The hashes, and
-not the lines, are dealt over segments by their first bits, and each segment sets
+not the lines, are dealt over segments, and each segment sets
 for each hash it gets the bits of a filter of keys seen once and, where those are
 set already, of a filter of keys seen twice. Only keys that the second filter holds,
 the suspected repeats, are shuffled by key, counted exactly by their whole hash, and
@@ -138,8 +138,7 @@ def suspected(rows: DataFrame, shortest: int) -> DataFrame:
     hashes = stored(rows.select("m1", "m2", "d_text").mapInPandas(_task_hashes(shortest), HASHES), "hashes")
     routed = hashes.where(F.col("kind") < REPEAT)
     segments = max(1, math.ceil(routed.count() / SEGMENT_KEYS))
-    segment = F.shiftrightunsigned("h2", 1) % segments
-    single = routed.repartition(segments, segment).mapInPandas(_suspects, "m1 long, m2 long, h1 long, h2 long")
+    single = routed.repartition(segments, "h2").mapInPandas(_suspects, "m1 long, m2 long, h1 long, h2 long")
     return single.union(hashes.where(F.col("kind") > SINGLE).select("m1", "m2", "h1", "h2"))
 
 
