@@ -46,9 +46,11 @@ SHINGLE = 5
 COUNTERS = 1 << 20  # hashed counts of the texts that hold a shingle
 OFTEN = 16  # times the mean counter, from which a shingle's list is salted
 SALTS = 64
+HELD_SHINGLES = 1 << 18  # that a task holds before it counts them
 SLICE = 256  # texts whose sets a worker holds at once
 ROUNDS = 2  # in which nodes meet one or two others, before all others
-FILTER_BITS = 1 << 27  # of a filter of row marks: 16 MB
+MOST_BITS = 1 << 27  # of a filter of row marks: 16 MB
+MARK_BITS = 32  # of a filter, a mark, as long as that is not more
 SEGMENTS = 64  # pieces in which counters and filters are merged
 
 
@@ -102,7 +104,8 @@ def _prints(rows: DataFrame, size: int) -> DataFrame:
 
         def settle() -> None:
             nonlocal width
-            counters[:] += np.bincount(np.concatenate(held) & (COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
+            places, times = np.unique(np.concatenate(held) & (COUNTERS - 1), return_counts=True)
+            counters[places] += times.astype(np.uint32)
             held.clear()
             width = 0
 
@@ -116,7 +119,7 @@ def _prints(rows: DataFrame, size: int) -> DataFrame:
                 prints.append(fingerprint_of(hashes))
                 held.append(found)
                 width += len(found)
-                if width >= COUNTERS:
+                if width >= HELD_SHINGLES:
                     settle()
             n = len(nodes)
             yield pa.RecordBatch.from_arrays(
@@ -179,18 +182,19 @@ def _lists(reps: DataFrame, counters: np.ndarray, size: int) -> DataFrame:
     return stored(shared.select("token", "node", "n", "place").distinct(), "lists")
 
 
-def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.int64(FILTER_BITS - 1)
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.int64(bits - 1)
     return hashes & mask, (hashes >> 32) & mask
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column ``hash``, of fixed size, on the driver."""
+    """A Bloom filter of the column ``hash`` on the driver, as large as their number asks and the bound lets."""
+    size = min(MOST_BITS, 1 << max(16, (MARK_BITS * hashes.count()).bit_length()))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(FILTER_BITS >> 3, np.uint8)
+        held = np.zeros(size >> 3, np.uint8)
         for batch in batches:
-            for place in _places(batch["hash"].to_numpy(np.int64)):
+            for place in _places(batch["hash"].to_numpy(np.int64), size):
                 np.bitwise_or.at(held, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
         for k, part in enumerate(np.split(held, SEGMENTS)):
             if part.any():
@@ -205,7 +209,7 @@ def _filter(hashes: DataFrame) -> np.ndarray:
         for segment, bits in held.items():
             yield pd.DataFrame({"segment": [segment], "bits": [zlib.compress(bits.tobytes(), 1)]})
 
-    whole = np.zeros(FILTER_BITS >> 3, np.uint8)
+    whole = np.zeros(size >> 3, np.uint8)
     pieces = np.split(whole, SEGMENTS)
     schema = "segment int, bits binary"
     for row in hashes.mapInPandas(fill, schema).repartition(SEGMENTS, "segment").mapInPandas(join, schema).collect():
@@ -219,7 +223,7 @@ def _rows_of(hashes: DataFrame, rows: DataFrame) -> tuple[DataFrame, object]:
 
     @F.pandas_udf(T.BooleanType())
     def has(marks: pd.Series) -> pd.Series:
-        first, second = _places(marks.to_numpy(np.int64))
+        first, second = _places(marks.to_numpy(np.int64), 8 * len(held.value))
         at = lambda p: (held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1
         return pd.Series((at(first) & at(second)).astype(bool))
 

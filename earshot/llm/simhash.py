@@ -39,6 +39,7 @@ from .graph import components
 
 SEED = 42
 ANCHORS = 1 << 24  # of two blocks; more fingerprints take bits besides
+PRINTS = 1 << 10  # fingerprints that a task replicates at once
 CHUNK = 1 << 16  # hashes whose bits are spread out at once
 
 # The binary Golay code.
@@ -154,8 +155,10 @@ def near_links(nodes: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFra
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, anchor, home = anchors(batch["fp"].to_numpy(), blocks, threshold, extra)
-            yield pd.DataFrame({"anchor": anchor, "fp": batch["fp"].to_numpy()[rows], "home": home})
+            for at in range(0, len(batch), PRINTS):
+                some = batch["fp"].to_numpy()[at : at + PRINTS]
+                rows, anchor, home = anchors(some, blocks, threshold, extra)
+                yield pd.DataFrame({"anchor": anchor, "fp": some[rows], "home": home})
 
     copies = nodes.mapInPandas(spread, "anchor long, fp long, home boolean")
     homes = copies.where("home").select("anchor", F.col("fp").alias("a"))
