@@ -32,6 +32,7 @@ from .common import WORD_PATTERN, cut, pick, stored
 
 BUCKET_ROWS = 1024
 FAN = 1024  # buckets of a bucket
+FEW_SOURCES = 20_000  # whose plan is broadcast: some 2 MB
 
 
 def fill_targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -71,8 +72,9 @@ def _with_key(rows: DataFrame, id_col: str, text_col: str, seed: int) -> DataFra
 
 
 def _beside(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
-    """Each row beside the plan of its source; Spark broadcasts the plan if it is small."""
+    """Each row beside the plan of its source, which is broadcast if its sources are few, and joined otherwise."""
     table = rows.sparkSession.createDataFrame(plan, f"p_source string, {schema}")
+    table = F.broadcast(table) if len(plan) <= FEW_SOURCES else table
     return rows.join(table, F.col("m_source").eqNullSafe(F.col("p_source"))).drop("p_source")
 
 
@@ -118,6 +120,7 @@ def plan_mix(keyed: DataFrame, weights: Sequence[float], share: float, most: flo
         if not at:
             break
         chosen = placed.sparkSession.createDataFrame(at, "k_source string, k_bucket long")
+        chosen = F.broadcast(chosen) if len(at) <= FEW_SOURCES else chosen
         same = F.col("m_source").eqNullSafe(F.col("k_source")) & (F.col("bucket") == F.col("k_bucket"))
         inside = cut(placed.join(chosen, same, "left_semi").select("m_source", "m_size", "m_key"))
         if max(p[3] for p in parts) < 1e-12:  # equal keys, which no bucket tells apart
