@@ -77,11 +77,17 @@ def prefixes(sets: list[np.ndarray], counters: np.ndarray) -> tuple[np.ndarray,
     return owner[kept], flat[order][kept], place[kept]
 
 
-def _slices(batches: Iterator[pd.DataFrame], size: int) -> Iterator[list[np.ndarray]]:
+def _slices(batches: Iterator[pd.DataFrame], size: int, bits: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The sets of the rows (mark, text) whose mark the filter holds.
+
+    The filter is asked beside the sets, so that a task runs one Python worker.
+    """
     for batch in batches:
-        texts = batch["text"].tolist()
-        for at in range(0, len(texts), SLICE):
-            yield [shingles(t, size) for t in texts[at : at + SLICE]]
+        first, second = _places(batch["mark"].to_numpy(np.int64), 8 * len(bits))
+        at = lambda p: (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+        texts = batch["text"][(at(first) & at(second)).astype(bool)].tolist()
+        for k in range(0, len(texts), SLICE):
+            yield [shingles(t, size) for t in texts[k : k + SLICE]]
 
 
 def _prints(rows: DataFrame, size: int) -> DataFrame:
@@ -158,28 +164,31 @@ def _merged_counters(parts: DataFrame) -> np.ndarray:
     return whole
 
 
-def _lists(reps: DataFrame, counters: np.ndarray, size: int) -> DataFrame:
+def _lists(hashes: DataFrame, rows: DataFrame, counters: np.ndarray, size: int) -> DataFrame:
     """(token, node, n, place) of the first shingles that several nodes share.
 
-    A list is short unless its shingle's counter is high; lists that may be long
+    Of the ``rows`` (mark, text) those with these ``hashes`` (hash) as mark count. A list is short unless its shingle's counter is high; lists that may be long
     are dealt over salts and kept without a look at their other members.
     """
-    order = reps.sparkSession.sparkContext.broadcast(counters)
+    order = rows.sparkSession.sparkContext.broadcast((counters, _filter(hashes)))
     high = max(1000, OFTEN * int(counters.mean()))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for found in _slices(batches, size):
-            owner, token, place = prefixes(found, order.value)
+        counters, bits = order.value
+        for found in _slices(batches, size, bits):
+            owner, token, place = prefixes(found, counters)
             nodes = np.array([node_of(s) for s in found], np.int64)[owner]
             sizes = np.array([len(s) for s in found], np.int64)[owner]
-            often = order.value[token & (COUNTERS - 1)] >= high
+            often = counters[token & (COUNTERS - 1)] >= high
             yield pd.DataFrame({"token": token, "node": nodes, "n": sizes, "place": place, "salt": np.where(often, 1 + nodes % SALTS, 0)})
 
-    entries = reps.select("text").mapInPandas(spread, "token long, node long, n int, place int, salt int")
+    entries = rows.select("mark", "text").mapInPandas(spread, "token long, node long, n int, place int, salt int")
     of_list = Window.partitionBy("token", "salt")
     entries = entries.withColumn("low", F.min("node").over(of_list)).withColumn("high", F.max("node").over(of_list))
     shared = entries.where("salt > 0 or low < high")
-    return stored(shared.select("token", "node", "n", "place").distinct(), "lists")
+    lists = stored(shared.select("token", "node", "n", "place").distinct(), "lists")
+    order.destroy()
+    return lists
 
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,28 +226,18 @@ def _filter(hashes: DataFrame) -> np.ndarray:
     return whole
 
 
-def _rows_of(hashes: DataFrame, rows: DataFrame) -> tuple[DataFrame, object]:
-    """The ``rows`` (mark, text) whose mark is among ``hashes`` (hash), and a few others, without a shuffle."""
-    held = rows.sparkSession.sparkContext.broadcast(_filter(hashes))
-
-    @F.pandas_udf(T.BooleanType())
-    def has(marks: pd.Series) -> pd.Series:
-        first, second = _places(marks.to_numpy(np.int64), 8 * len(held.value))
-        at = lambda p: (held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1
-        return pd.Series((at(first) & at(second)).astype(bool))
-
-    return rows.where(has("mark")), held
-
-
 def _sets_of(hashes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the rows with these ``hashes`` (hash) as mark; read off the texts again."""
+    """(node, set) of the rows (mark, text) with these ``hashes`` (hash) as mark, and of few others.
+
+    The sets are read off the texts again, without a shuffle of them.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(_filter(hashes))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for found in _slices(batches, size):
+        for found in _slices(batches, size, held.value):
             yield pd.DataFrame({"node": [node_of(s) for s in found], "set": found})
 
-    some, held = _rows_of(hashes, rows)
-    sets = stored(some.select("text").mapInPandas(of, "node long, set array<long>"), "sets")
+    sets = stored(rows.select("mark", "text").mapInPandas(of, "node long, set array<long>"), "sets")
     held.destroy()
     return sets
 
@@ -330,9 +329,7 @@ def without_near_copies(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc
     order = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "fp")
     nodes = stored(prints.groupBy("node").agg(F.min(order).alias("least")), "nodes")
     marks = nodes.select("node", F.xxhash64("least.id", "least.hash").alias("hash"), "least.fp")
-    reps, held = _rows_of(marks.select("hash"), rows)
-    lists = _lists(reps, counters, size)
-    held.destroy()
+    lists = _lists(marks.select("hash"), rows, counters, size)
     links = similar_links(lists, rows, marks, size)
     labels = components(links).select(F.col("node").alias("at"), "label")
     marked = nodes.join(labels, F.col("node") == F.col("at"), "left")
