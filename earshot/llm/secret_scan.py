@@ -2,8 +2,10 @@
 
 Candidate strings are runs of key-like characters. Over each run of a character
 class a window slides, its Shannon entropy kept by incremental counts; windows at
-or above the class's threshold join into a span, unless the candidate is on the
-allow-list. Spans are in code points, end exclusive.
+or above the class's threshold join into a span, unless the candidate as a whole is
+on the allow-list. Known words and written-out alphabets inside a candidate part it:
+no window reaches over them, the rest of it is scanned. Spans are in code points,
+end exclusive.
 
 Defined results: a null text counts as empty and has no spans; very long texts
 are scanned whole, in one pass; repeated rows and null ids are scanned row by
@@ -35,13 +37,14 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """Runs of one character class: window length, threshold in bits, and what a window must hold."""
+    """Runs of one character class: window length, threshold in bits, and what a window must hold, ``least`` times."""
 
     kind: str
     run: str
     window: int
     bits: float
     needs: tuple[str, ...]
+    least: int = 1
 
 
 # Classes and allow-list.
@@ -54,19 +57,25 @@ CLASSES = (
         3.7,
         ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ),
+    # letters of one case beside digits, beyond hex
+    EntropyClass("entropy_lower", r"[a-z0-9]{20,}", 20, 3.7, ("0123456789", "ghijklmnopqrstuvwxyz"), 3),
+    EntropyClass("entropy_upper", r"[A-Z0-9]{20,}", 20, 3.7, ("0123456789", "GHIJKLMNOPQRSTUVWXYZ"), 3),
 )
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # a UUID
-    r".*(EXAMPLE|example|placeholder|changeme).*",
-    r".*(0123456789|abcdefghij|ABCDEFGHIJ).*",  # alphabets written out
+    r".*EXAMPLE(KEY)?",  # keys of manuals
     r"(sha1|sha256|sha384|sha512|md5)-.*",  # published digests
 )
+PARTING = (
+    r"EXAMPLE|example|placeholder|changeme",
+    r"0123456789|abcdefghij|ABCDEFGHIJ",  # alphabets written out
+)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 
 
-def hot_windows(run: str, size: int, bits: float, needs: Sequence[str]) -> list[tuple[int, int]]:
-    """Joined windows of ``run`` with at least ``bits`` of entropy and a character of each of ``needs``."""
+def hot_windows(run: str, size: int, bits: float, needs: Sequence[str], least: int = 1) -> list[tuple[int, int]]:
+    """Joined windows of ``run`` with at least ``bits`` of entropy and ``least`` characters of each of ``needs``."""
     if len(run) < size:
         return []
     terms = [0.0, *(c * math.log2(c) for c in range(1, size + 2))]  # a window holds one more before it moves on
@@ -89,7 +98,7 @@ def hot_windows(run: str, size: int, bits: float, needs: Sequence[str]) -> list[
             counts[old] = n - 1
             if old in group:
                 held[group[old]] -= 1
-        if i >= size - 1 and total <= most and all(held):
+        if i >= size - 1 and total <= most and min(held, default=least) >= least:
             start = i - size + 1
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
@@ -99,9 +108,10 @@ def hot_windows(run: str, size: int, bits: float, needs: Sequence[str]) -> list[
 
 
 class Scanner:
-    def __init__(self, classes: Sequence[EntropyClass], allowed: Sequence[str]):
+    def __init__(self, classes: Sequence[EntropyClass], allowed: Sequence[str], parting: Sequence[str] = PARTING):
         self.classes = [(c, re.compile(c.run)) for c in classes]
         self.allowed = re.compile("|".join(f"(?:{a})" for a in allowed) or r"(?!)", re.DOTALL)
+        self.parting = re.compile("|".join(parting) or r"(?!)")
         self.order = {k: i for i, k in enumerate(("assign", "access", "hex", *(c.kind for c in classes)))}
 
     def base(self, text: str) -> list[tuple[int, str, int]]:
@@ -118,13 +128,19 @@ class Scanner:
         for m in CANDIDATE.finditer(text):
             if self.allowed.fullmatch(m[0]):
                 continue
-            for kind, run in self.classes:
-                for r in run.finditer(m[0]):
-                    at = m.start() + r.start()
-                    hot = hot_windows(r[0], kind.window, kind.bits, kind.needs)
-                    spans += [(at + a, kind.kind, at + b) for a, b in hot]
+            at = 0
+            for start, end in [*(w.span() for w in self.parting.finditer(m[0])), (len(m[0]), 0)]:
+                spans += self.piece(m[0][at:start], m.start() + at)
+                at = end
         return spans
 
+    def piece(self, text: str, offset: int) -> Iterator[tuple[int, str, int]]:
+        for kind, run in self.classes:
+            for r in run.finditer(text):
+                at = offset + r.start()
+                for a, b in hot_windows(r[0], kind.window, kind.bits, kind.needs, kind.least):
+                    yield at + a, kind.kind, at + b
+
     def sorted(self, spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
         return sorted(spans, key=lambda s: (s[0], self.order[s[1]], s[2]))
 
@@ -151,6 +167,7 @@ def find_secrets(
     docs: DataFrame,
     classes: Sequence[EntropyClass] = CLASSES,
     allowed: Sequence[str] = ALLOWED,
+    parting: Sequence[str] = PARTING,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -158,7 +175,7 @@ def find_secrets(
 
     @F.pandas_udf(SPANS)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(classes, allowed)
+        scanner = Scanner(classes, allowed, parting)
         for texts in batches:
             rows = [scanner.row(t) for t in texts]
             yield pd.Series([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in r] for r in rows])

@@ -221,6 +221,20 @@ def test_allow_list_suppresses():
     scanner = secret_scan.Scanner(secret_scan.CLASSES, secret_scan.ALLOWED)
     assert not scanner.entropy("id 123e4567-e89b-42d3-a456-426614174000 end")
     assert scanner.entropy("key Zq8Rk2Lm9Tx4Vb7Nc1Wd6 end")
+    assert not scanner.entropy("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY abcdefghijklmnopqrstuvwxyz0123456789")
+    # a known word parts its candidate, the key beside it is still scanned
+    key = "q7zk2m9txv4bw8nc1rd6hy3p"
+    assert scanner.entropy(f"path/example/{key}") == [(13, "entropy_lower", 37)]
+
+
+def test_keys_of_one_case():
+    scanner = secret_scan.Scanner(secret_scan.CLASSES, secret_scan.ALLOWED)
+    rnd = random.Random(3)
+    draw = lambda chars: "".join(rnd.choice(chars) for _ in range(40))
+    for kind, letters in (("entropy_lower", "abcdefghijklmnopqrstuvwxyz"), ("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+        found = [[k for _, k, _ in scanner.entropy(f"at {draw(letters + '0123456789')}, end")] for _ in range(200)]
+        assert sum(kind in f for f in found) >= 190 and all(set(f) <= {kind} for f in found)
+    assert not scanner.entropy("internationalisation_of_representations a" + "b" * 40 + " 12345678901234567890")
 
 
 def brute_distance(item, text):
