@@ -11,23 +11,18 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b), label the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours and then the
-    label of that label, so chains halve. Labels are checkpointed each round; only
-    the number of changes reaches the driver.
+    Each round takes the smallest label among a node and its neighbours, ends if that
+    changes nothing, and else takes the label of that label, so chains halve. Labels
+    are checkpointed each round; only whether one changed reaches the driver.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        step = cut(step)
-        ahead = step.select(F.col("node").alias("at"), F.col("label").alias("ahead"))
-        jumped = step.join(ahead, F.col("label") == F.col("at")).select(
-            "node", "old", F.least("label", "ahead").alias("label")
-        )
-        jumped = cut(jumped)
-        labels = jumped.select("node", "label")
-        if jumped.where(F.col("label") != F.col("old")).isEmpty():
+        near = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        step = cut(near.union(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+        if step.where(F.col("label") != F.col("old")).isEmpty():
             return labels
+        ahead = step.select(F.col("node").alias("at"), F.col("label").alias("ahead"))
+        jumped = step.join(ahead, F.col("label") == F.col("at")).select("node", F.least("label", "ahead").alias("label"))
+        labels = cut(jumped)
