@@ -12,10 +12,15 @@ over all texts; it changes the length of the lists, never what is found. Every
 candidate is held against the exact similarity.
 
 Equal sets are one node. Lists are not paired in full at once: in the first rounds
-each node meets one other, the one that most of its lists name, and once the
-representative of its SimHash group, and only what these links leave in different
-components meets all others. A large group of near copies so costs its size, not
-the square of it.
+each node meets one other, and once the representative of its SimHash group, and
+only what these links leave in different components meets all others. The first
+round names the member of a list that holds the fewest rarer shingles, which is the
+text that a group of edited copies comes from, so most of a group is linked at once.
+Every node carries one bit for each class of shingle hashes, set if it holds an odd
+number of them. Two sets differ in as many shingles at least as these bits differ,
+so pairs that cannot be similar end inside the join, before any set is read, and
+none that can be is lost. A large group of near copies so costs its size, not the
+square of it.
 
 Defined results: words are split at ASCII white space, ASCII letters lower-cased; a
 text of fewer than five words is one shingle; a null text or one without words has
@@ -34,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +56,7 @@ SLICE = 256  # texts whose sets a worker holds at once
 ROUNDS = 2  # in which nodes meet one or two others, before all others
 MOST_BITS = 1 << 27  # of a filter of row marks: 16 MB
 MARK_BITS = 32  # of a filter, a mark, as long as that is not more
+WORDS = 4  # longs of parity bits of a set
 SEGMENTS = 64  # pieces in which counters and filters are merged
 
 
@@ -63,6 +69,13 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view("<i8"))
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether a set holds an odd number of the hashes of each of 64 * ``WORDS`` classes, as signed longs."""
+    classes = (found >> 24) & (64 * WORDS - 1)
+    odd = np.bincount(classes, minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefixes(sets: list[np.ndarray], counters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, shingle, place) of the first shingles of each set, rare ones first.
 
@@ -91,13 +104,14 @@ def _slices(batches: Iterator[pd.DataFrame], size: int, bits: np.ndarray) -> Ite
 
 
 def _prints(rows: DataFrame, size: int) -> DataFrame:
-    """(id, hash, node, fp) of each of ``rows`` (id, hash, text), and rows (segment, counts) of a task's counters."""
+    """(id, hash, node, fp, odd) of each of ``rows`` (id, hash, text), and rows (segment, counts) of a task's counters."""
     schema = T.StructType(
         [
             rows.schema["id"],
             T.StructField("hash", T.LongType()),
             T.StructField("node", T.LongType()),
             T.StructField("fp", T.LongType()),
+            T.StructField("odd", T.ArrayType(T.LongType())),
             T.StructField("segment", T.IntegerType()),
             T.StructField("counts", T.BinaryType()),
         ]
@@ -117,26 +131,35 @@ def _prints(rows: DataFrame, size: int) -> DataFrame:
 
         for batch in batches:
             id_type = batch.schema.field("id").type
-            nodes, prints = [], []
+            nodes, prints, odd = [], [], []
             for text in batch.column("text"):
                 hashes = shingle_hashes(text.as_py(), size)
                 found = np.unique(hashes.view("<i8"))
                 nodes.append(node_of(found))
                 prints.append(fingerprint_of(hashes))
+                odd.append(parities(found))
                 held.append(found)
                 width += len(found)
                 if width >= HELD_SHINGLES:
                     settle()
             n = len(nodes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("hash"), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [
+                    batch.column("id"),
+                    batch.column("hash"),
+                    pa.array(nodes, pa.int64()),
+                    pa.array(prints, pa.int64()),
+                    pa.array(odd, pa.list_(pa.int64())),
+                    pa.nulls(n, pa.int32()),
+                    pa.nulls(n, pa.binary()),
+                ],
                 names=schema.names,
             )
         if held:
             settle()
         if id_type is not None:
             packed = [zlib.compress(part.tobytes(), 1) for part in np.split(counters, SEGMENTS)]
-            longs = [pa.nulls(SEGMENTS, pa.int64())] * 3
+            longs = [*[pa.nulls(SEGMENTS, pa.int64())] * 3, pa.nulls(SEGMENTS, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SEGMENTS, id_type), *longs, pa.array(range(SEGMENTS), pa.int32()), pa.array(packed, pa.binary())], names=schema.names
             )
@@ -274,25 +297,28 @@ def print_pairs(nodes: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(a, b), a < b, that join the ``nodes`` (node, hash, fp) over all similar pairs.
+    """(a, b), a < b, that join the ``nodes`` (node, hash, fp, odd) over all similar pairs.
 
     Of the ``rows`` (mark, text), ``nodes.hash`` is the mark of one row a node.
     """
-    other = {"node": "other", "n": "m", "place": "o_place", "label": "o_label"}
+    other = {"node": "other", "n": "m", "place": "o_place", "odd": "o_odd", "label": "o_label"}
+    lists = stored(lists.join(nodes.select("node", "odd"), "node"), "lists")
     # enough is left if no shingle before this one is shared, and the sizes fit
     most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("o_place"))
-    fit = (F.col("label") != F.col("o_label")) & (9 * most >= 4 * (F.col("n") + F.col("m")))
+    sizes = F.col("n") + F.col("m")
+    differ = reduce(Column.__add__, [F.bit_count(F.col("odd")[w].bitwiseXOR(F.col("o_odd")[w])) for w in range(WORDS)])
+    fit = (F.col("label") != F.col("o_label")) & (9 * most >= 4 * sizes) & (9 * differ <= sizes)
     found: list[DataFrame] = []
     met: list[DataFrame] = []
     for k in range(ROUNDS + 1):
         told = stored(_labelled(lists, reduce(DataFrame.union, found)), "labelled") if found else _labelled(lists, None)
         if k < ROUNDS:  # one member of each list, another one each round
-            draw = F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), *other)
+            rarer = F.col("place") if k == 0 else F.lit(0)
+            draw = F.struct(rarer.alias("rarer"), F.xxhash64(F.lit(k), "node").alias("draw"), *other)
             one = told.groupBy("token").agg(F.min(draw).alias("o"))
             one = stored(one.select("token", *[F.col(f"o.{a}").alias(b) for a, b in other.items()]), "ones")
-            named = told.join(one, "token").where(fit).groupBy("node", "other").count()
-            best = F.max(F.struct("count", F.xxhash64("other").alias("tie"), "other")).alias("best")
-            pairs = named.groupBy("node").agg(best).select(*_pair("node", "best.other"))
+            best = F.min(F.struct((differ / sizes).alias("apart"), F.xxhash64("other").alias("tie"), "other")).alias("best")
+            pairs = told.join(one, "token").where(fit).groupBy("node").agg(best).select(*_pair("node", "best.other"))
             if k == 0:
                 pairs = pairs.union(print_pairs(nodes))
             pairs = pairs.distinct()
@@ -325,10 +351,10 @@ def without_near_copies(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc
     rows = flat.select(F.xxhash64(F.col(at_id), text_hash).alias("mark"), F.col(at_text).alias("text"))
     told = stored(_prints(flat.select(F.col(at_id).alias("id"), text_hash.alias("hash"), F.col(at_text).alias("text")), size), "prints")
     counters = _merged_counters(told.where("segment is not null").select("segment", "counts"))
-    prints = told.where("segment is null").select("id", "hash", "node", "fp")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "fp")
+    prints = told.where("segment is null").select("id", "hash", "node", "fp", "odd")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "fp", "odd")
     nodes = stored(prints.groupBy("node").agg(F.min(order).alias("least")), "nodes")
-    marks = nodes.select("node", F.xxhash64("least.id", "least.hash").alias("hash"), "least.fp")
+    marks = nodes.select("node", F.xxhash64("least.id", "least.hash").alias("hash"), "least.fp", "least.odd")
     lists = _lists(marks.select("hash"), rows, counters, size)
     links = similar_links(lists, rows, marks, size)
     labels = components(links).select(F.col("node").alias("at"), "label")

@@ -47,3 +47,21 @@ def test_stage_finds_all_pairs_and_only_those(spark):
     left = near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     want = brute(texts)
     assert {r.doc_id for r in left.collect()} == want and 150 < len(want) < len(texts) - 60
+
+
+def test_parity_bits_never_differ_more_than_the_sets():
+    rnd = random.Random(9)
+    for _ in range(300):
+        words = [f"w{rnd.randrange(400)}" for _ in range(rnd.randint(0, 300))]
+        a, b = (near_copies.shingles(t) for t in (" ".join(words), edited(rnd, words, rnd.randint(0, len(words) // 4))))
+        bits = sum(int(x).bit_count() for x in (near_copies.parities(a) ^ near_copies.parities(b)).view("<u8"))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_edited_copies_join_over_the_text_they_come_from(spark):
+    rnd = random.Random(10)
+    words = [f"w{k}" for k in range(160)]
+    texts = {0: " ".join(words)} | {i: edited(rnd, words, 3) for i in range(1, 150)}
+    texts |= {i: edited(rnd, words, 12) for i in range(150, 200)}
+    left = near_copies.without_near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == brute(texts)
