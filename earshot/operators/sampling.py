@@ -30,6 +30,8 @@ GENDERS = {"m": 33218, "f": 13130, "n": 53649}
 AGES = {"NA": 61690, "good": 38310}
 MARGINS = {"country": COUNTRIES, "gender": GENDERS, "age_key": AGES}
 
+RANGE_DIGITS = 3  # hexadecimal digits of a key that name its range
+
 
 def apportion(shares: dict[str, int], n: int) -> dict[str, int]:
     """Whole quotas that sum to n.
@@ -104,6 +106,27 @@ class _Open:
         return any(not any(q > 0 for q in values.values()) for values in self.left.values())
 
 
+def _ends(now: DataFrame, left: dict[str, dict[str, int]]) -> list[str]:
+    """The keys at which the open quotas close, each that of a value's user numbered as its quota.
+
+    Users are counted by ranges of their keys, which are even; only the range in
+    which a quota closes is ranked.
+    """
+    rows = [(m, v, q) for m, values in left.items() for v, q in values.items() if q > 0]
+    table = now.sparkSession.createDataFrame(rows, "margin string, value string, quota long")
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS]))
+    each = now.select("order_key", F.substring("order_key", 1, RANGE_DIGITS).alias("range"), pairs.alias("p"))
+    each = each.select("order_key", "range", "p.margin", "p.value")
+    counts = each.groupBy("margin", "value", "range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("margin", "value").orderBy("range")) - F.col("_n")
+    counts = counts.withColumn("_before", before).join(F.broadcast(table), ["margin", "value"])  # one row per value
+    closing = counts.where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_n")))
+    closing = closing.select("margin", "value", "range", (F.col("quota") - F.col("_before")).alias("_last"))
+    inside = each.join(F.broadcast(closing), ["margin", "value", "range"])  # one row per value
+    nth = F.row_number().over(Window.partitionBy("margin", "value").orderBy("order_key"))
+    return [r.order_key for r in inside.withColumn("_nth", nth).where("_nth = _last").select("order_key").collect()]
+
+
 def quota_sample(eligible: DataFrame, n: int, seed: int) -> DataFrame:
     """Users taken one by one in seeded order while all their quotas are open.
 
@@ -121,17 +144,13 @@ def quota_sample(eligible: DataFrame, n: int, seed: int) -> DataFrame:
         ]
     )
     margins = list(MARGINS)
-    place = F.row_number().over(Window.partitionBy(*margins).orderBy("order_key"))
-    cells = seeded_order(eligible, "user_id", seed).withColumn("_place", place).where(F.col("_place") <= least)
+    keyed = seeded_order(eligible.select("user_id", *margins), "user_id", seed).withColumn("_cell", F.concat_ws("|", *margins))
+    cells = ranked_within(keyed, "_cell", ["order_key"], "_place").where(F.col("_place") < least)
     cells = cells.select("user_id", "order_key", *margins).persist()
     try:
         while not state.closed():
             now = cells.where(state.condition())
-            ends = []
-            for margin, values in state.left.items():
-                nth = F.row_number().over(Window.partitionBy(margin).orderBy("order_key"))
-                full = F.coalesce(*[F.when(F.col(margin) == v, F.lit(q)) for v, q in values.items() if q > 0])
-                ends += [r.order_key for r in now.withColumn("_nth", nth).where(F.col("_nth") == full).select("order_key").collect()]
+            ends = _ends(now, state.left)
             taken = now.where(F.col("order_key") <= min(ends)) if ends else now
             bound = state.condition() & (F.col("order_key") <= min(ends)) if ends else state.condition()
             counts = taken.groupBy(*margins).count().collect()
