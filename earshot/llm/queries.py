@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .license_scan import license_labels
 from .line_dedup import LINE_SQL, line_digest
 from .mixing import mix_sources
+from .packing import packing_digest
 from .quality import quality_verdicts
 from .repeats import repeat_digest
 from .secret_scan import secret_digest
@@ -60,6 +61,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_groups": op8_simhash_groups,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
+    "op11_packing": op11_packing,
 }
 
 ORACLES: dict[str, str] = {
