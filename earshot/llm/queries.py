@@ -14,6 +14,7 @@ from .line_dedup import LINE_SQL, line_digest
 from .mixing import mix_sources
 from .packing import packing_digest
 from .quality import quality_verdicts
+from .ranked_search import SEARCH_SQL, rank_documents
 from .repeats import repeat_digest
 from .secret_scan import secret_digest
 from .sharding import shard_documents
@@ -65,6 +66,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -77,8 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
     "op11_packing": op11_packing,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": LINE_SQL,
+    "op13_ranked_search": SEARCH_SQL,
 }

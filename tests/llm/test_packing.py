@@ -88,7 +88,7 @@ def test_patterns_are_full_and_within_the_counts(seed):
         for n, a in pattern.items():
             used[n] += a * times
     assert (used <= counts + 1e-6).all()
-    assert sum(t for _, t in patterns) > 0.97 * (counts @ np.arange(64)) / 64
+    assert sum(t for _, t in patterns) > 0.9 * (counts @ np.arange(64)) / 64
 
 
 def test_plan_of_a_tiny_case_is_the_optimum():
