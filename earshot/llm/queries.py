@@ -19,6 +19,7 @@ from .repeats import repeat_digest
 from .secret_scan import secret_digest
 from .sharding import shard_documents
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .token_count import token_counts
 
 
@@ -66,6 +67,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
     "op11_packing": op11_packing,
+    "op12_spelling": op12_spelling,
     "op13_ranked_search": op13_ranked_search,
 }
 
