@@ -32,6 +32,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -48,7 +49,8 @@ SPOILED = 97  # of so many runs about one loses a code point
 SHORTEST, LONGEST = 2, 5  # symbols of a gram
 GRAMS = 64_000
 FREQUENT = 4  # a gram is lengthened if it is so many times as frequent as the rarest of the dictionary
-TASK_WORDS = 500_000  # words a task counts before it gives them on
+TASK_WORDS = 500_000  # words or grams a task counts before it gives them on
+LONG_WORD = 64  # code points from which on the index holds a word's digest
 
 
 # Words
@@ -95,6 +97,23 @@ def vocabulary(docs: DataFrame, shortest: int = 5, occurrences: int = 3, id_col:
 # Grams
 
 
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict[str, int] = {}
+    frame = lambda: pd.DataFrame({"gram": list(held), "n": list(held.values())})
+    for batch in batches:
+        for word in batch["word"]:
+            marked = f"^{word}$"
+            for size in range(SHORTEST, LONGEST + 1):
+                for at in range(len(marked) - size + 1):
+                    gram = marked[at : at + size]
+                    held[gram] = held.get(gram, 0) + 1
+            if len(held) >= TASK_WORDS:
+                yield frame()
+                held.clear()
+    if held:
+        yield frame()
+
+
 def gram_dictionary(words: DataFrame) -> tuple[dict[str, int], float]:
     """Counts of the more frequent grams, and the count above which a gram is lengthened.
 
@@ -103,12 +122,8 @@ def gram_dictionary(words: DataFrame) -> tuple[dict[str, int], float]:
     """
     places = words.agg(F.sum(F.length("word") + 1).alias("n")).first().n or 0
     least = max(2.0, places / GRAMS)
-    marked = F.concat(F.lit("^"), "word", F.lit("$"))
-    grams = words.select(marked.alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("at"))
-    sizes = F.array(*[F.lit(q) for q in range(SHORTEST, LONGEST + 1)])
-    fitting = F.filter(sizes, lambda q: F.col("at") + q - 1 <= F.length("w"))
-    grams = grams.select("w", "at", F.explode(fitting).alias("q")).select(F.substring("w", F.col("at"), F.col("q")).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    grams = words.select("word").mapInPandas(_grams, "gram string, n long")
+    counts = grams.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > least)
     return {r.gram: r.n for r in counts.collect()}, max(FREQUENT * least, 64)
 
 
@@ -142,28 +157,40 @@ def signature(word: str, counts: dict[str, int], frequent: float) -> list[tuple[
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b) of all pairs of words one edit apart, each once, in both orders."""
+    """(a, n_a, b, n_b) of all pairs of words one edit apart, each once.
+
+    The index holds words themselves below ``LONG_WORD`` code points and a digest for
+    longer ones, whose texts come to the pairs that have met.
+    """
     counts, frequent = gram_dictionary(words)
     sent = words.sparkSession.sparkContext.broadcast((counts, frequent))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, above = sent.value
         for batch in batches:
-            rows = [(g, at, w, n) for w, n in zip(batch["word"], batch["n"], strict=True) for g, at in signature(w, held, above)]
-            yield pd.DataFrame(rows, columns=["gram", "at", "word", "n"])
-
-    index = words.mapInPandas(sign, "gram string, at int, word string, n long").withColumn("size", F.length("word"))
-    index = stored(index, "grams")
+            rows = []
+            for word, n in zip(batch["word"], batch["n"], strict=True):
+                size = len(word)
+                text = word if size < LONG_WORD else None
+                digest = hashlib.md5(word.encode()).hexdigest() if size >= LONG_WORD - 1 else None
+                rows += [(g, at, size, text, digest, n) for g, at in signature(word, held, above)]
+            yield pd.DataFrame(rows, columns=["gram", "at", "size", "word", "digest", "n"])
+
+    index = stored(words.mapInPandas(sign, "gram string, at int, size int, word string, digest string, n long"), "grams")
     # a near word of the same length has the gram at the same place, a longer one there or one place on
     longer = lambda by, on: F.struct((F.col("size") + by).alias("size"), (F.col("at") + on).alias("at"))
-    asked = index.select("gram", F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(longer(0, 0), longer(1, 0), longer(1, 1))).alias("k"))
-    asked = asked.select("gram", "k.size", "k.at", "a", "n_a")
-    lists = index.select("gram", "size", "at", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    met = asked.join(lists, ["gram", "size", "at"]).where(
-        ((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
-    )
-    once = met.select("a", "n_a", "b", "n_b").distinct()
-    return stored(once, "pairs")
+    places = F.explode(F.array(longer(0, 0), longer(1, 0), longer(1, 1))).alias("k")
+    asked = index.select("gram", F.col("word").alias("a"), F.col("digest").alias("d_a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"), places)
+    asked = asked.select("gram", "k.size", "k.at", "a", "d_a", "n_a", "size_a")
+    lists = index.select("gram", "size", "at", F.col("word").alias("b"), F.col("digest").alias("d_b"), F.col("n").alias("n_b"))
+    by_text = (F.col("size_a") < F.col("size")) | (F.col("a") < F.col("b"))
+    by_text = F.col("a").isNotNull() & F.col("b").isNotNull() & by_text & (F.levenshtein("a", "b", 1) == 1)
+    by_digest = (F.col("a").isNull() | F.col("b").isNull()) & ((F.col("size_a") < F.col("size")) | (F.col("d_a") < F.col("d_b")))
+    met = stored(asked.join(lists, ["gram", "size", "at"]).where(by_text | by_digest).select("a", "d_a", "n_a", "b", "d_b", "n_b").distinct(), "met")
+    known = words.where(F.length("word") >= LONG_WORD - 1).select(F.md5("word").alias("d"), "word")
+    far = met.where("a is null or b is null").select("d_a", "n_a", "d_b", "n_b")
+    far = far.join(known.toDF("d_a", "a"), "d_a").join(known.toDF("d_b", "b"), "d_b").where(F.levenshtein("a", "b", 1) == 1)
+    return met.where("a is not null and b is not null").select("a", "n_a", "b", "n_b").union(far.select("a", "n_a", "b", "n_b"))
 
 
 # Forms
@@ -186,7 +213,7 @@ def spelling_variants(docs: DataFrame, times: int = 2, id_col: str = "doc_id", t
     ``times``: how much more frequent than a word its form must be.
     """
     words = vocabulary(docs, id_col=id_col, text_col=text_col)
-    pairs = near_pairs(words)
+    pairs = stored(near_pairs(words), "pairs")
     both = pairs.select("a", "n_a", "b", "n_b").union(pairs.select("b", "n_b", "a", "n_a")).toDF("word", "n", "other", "n_other")
     best = F.min(F.struct((-F.col("n_other")).alias("less"), "other"))
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))

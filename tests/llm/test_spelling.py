@@ -65,7 +65,9 @@ def make(seed, n_words=400, n_docs=300):
     rnd = random.Random(seed)
     stems = ["".join(rnd.choices("abcé", k=rnd.randint(4, 9))) for _ in range(n_words)]
     docs = [(i, " ".join(rnd.choices(stems, [1 / (k + 1) for k in range(n_words)], k=120))) for i in range(n_docs)]
-    long = "".join(rnd.choices("xyz", k=20_000))
+    long = "".join(rnd.choices("xyz", k=3000))
+    for k in (62, 63, 64, 65):
+        docs.append((k, f"{long[:k]} {long[:k]} {long[:k]} {'a' * k} {'a' * k} {'a' * k}"))
     docs += [(None, f"{long} {long[:-1]} Çaça-Über×÷ÿ NAÏVETÉ"), (7, None), (8, "")] + [(9, f"{long} {long[:-1]} {long[1:]}")] * 3
     return docs
 
