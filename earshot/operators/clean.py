@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import id_bitmaps, keep_marked
+
 # Bands of eligible users and the values the quotas know.
 AGE_BAND = (15.7, 35.1)
 PLAYCOUNT_BAND = (7083, 24841)
@@ -40,8 +42,14 @@ def named(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
 
 
 def filter_events(events: DataFrame, good: dict[str, DataFrame]) -> DataFrame:
-    """Events whose every listed key is good, each judged by itself."""
-    return reduce(lambda df, key: keep_ids(df, good[key], key), good, events)
+    """Events whose every listed key is good, each judged by itself.
+
+    The good ids become bitmaps, which go to the events: these are not shuffled, but by
+    a key whose bitmap is too large to be broadcast.
+    """
+    marked = id_bitmaps(good)
+    order = sorted(good, key=lambda key: (not marked[key].fits(), marked[key].n_bytes))
+    return reduce(lambda df, key: keep_marked(df, marked[key], key), order, events)
 
 
 def active_users(users: DataFrame, events: DataFrame) -> DataFrame:

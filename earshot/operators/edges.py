@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -92,12 +92,31 @@ def relations_of(artists: bool, albums: bool, tracks: bool) -> list[str]:
     return [r for r, ends in RELATIONS.items() if set(ends) <= types]
 
 
+class Lazy(Mapping):
+    """Tables by name, each made when it is first asked for, and once."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self.makers = dict(sorted(makers.items()))
+        self.made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 @dataclass
 class Graph:
-    """Lazy tables of a typed graph."""
+    """Tables of a typed graph; those of a ``Lazy`` mapping are made only where they are read."""
 
-    nodes: dict[str, DataFrame]  # node type -> (raw_id, node_id)
-    edges: dict[str, DataFrame]  # relation -> (src, dst, edge_id, ...)
+    nodes: Mapping[str, DataFrame]  # node type -> (raw_id, node_id)
+    edges: Mapping[str, DataFrame]  # relation -> (src, dst, edge_id, ...)
 
     def node_counts(self) -> DataFrame:
         parts = [d.select(F.lit(t).alias("node_type")) for t, d in self.nodes.items()]

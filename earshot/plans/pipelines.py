@@ -3,29 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cache, partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import embed, walks
+from ..operators.bitmaps import Bitmap, flag_marked, id_bitmaps, keep_marked, number_marked
 from ..operators.edges import (
     RELATIONS,
     REVERSE,
     Graph,
+    Lazy,
     genres_by_name,
     genres_or_default,
     listen_edges,
     relations_of,
     reverse,
-    structural_edges,
     weighted_edges,
 )
-from ..operators.ids import buckets_for, dense_ids
-from ..operators.playcount import dense_events, popular_artists, popularity
+from ..operators.ids import buckets_for, dense_ids, positions
+from ..operators.playcount import number_events, popular_artists, popularity
 from ..operators.sampling import COUNTRIES, GENDERS, quota_sample
-from ..sources.staging import staged
+from ..sources.staging import staged, staged_once
 
 Tables = dict[str, DataFrame]
 ITEMS = ("artist", "album", "track")
@@ -74,7 +75,7 @@ def subset_users(users: DataFrame, n: int, seed: int) -> DataFrame:
 
 def stage_tables(cleaned: Tables, kinds: Sequence[str] = KINDS) -> Tables:
     """The cleaned tables written once; what follows reads them many times."""
-    return {k: staged(cleaned[k], f"clean-{k}") for k in kinds}
+    return {k: staged_once(cleaned[k], f"clean-{k}") for k in kinds}
 
 
 def numbered(cleaned: Tables, kind: str) -> DataFrame:
@@ -82,6 +83,11 @@ def numbered(cleaned: Tables, kind: str) -> DataFrame:
     return dense_ids(cleaned[kind], f"{kind}_id", buckets_for(cleaned[kind].count()))
 
 
+def marked_ids(cleaned: Tables, kinds: Sequence[str]) -> dict[str, Bitmap]:
+    """The ids of staged tables as bitmaps, which number them as ``numbered`` does."""
+    return id_bitmaps({k: cleaned[k].select(f"{k}_id") for k in kinds})
+
+
 def build_graph(
     cleaned: Tables,
     genre_lines: DataFrame,
@@ -95,25 +101,34 @@ def build_graph(
 ) -> Graph:
     """A graph with the given item types, of all its relations or the named ones.
 
-    ``cleaned`` should be staged: relations read the same tables.
+    ``cleaned`` should be staged: relations read the same tables. Node ids and relations
+    are made where they are read; edges are numbered through bitmaps, without a shuffle
+    before that of their own order.
     """
     wanted, kinds = _wanted(artists, albums, tracks, relations)
-    ids = {k: staged(numbered(cleaned, k), f"ids-{k}") for k in kinds}
+    marked = cache(lambda: marked_ids(cleaned, kinds))
+    nodes = {k: lambda k=k: staged(numbered(cleaned, k), f"ids-{k}") for k in kinds}
     if artists:
-        ids["genre"] = genres.select(F.col("genre_id").alias("raw_id"), F.col("genre_id").alias("node_id"))
-    edges: dict[str, DataFrame] = {}
-    for relation, pairs in _structural(cleaned, genre_lines, genres, wanted).items():
-        ends = [ids[k] if k != "genre" else None for k in RELATIONS[relation]]
+        nodes["genre"] = lambda: genres.select(F.col("genre_id").alias("raw_id"), F.col("genre_id").alias("node_id"))
+
+    def structural(relation: str) -> DataFrame:
+        pairs = _structural(cleaned, genre_lines, genres, {relation})[relation]
+        for end, kind in zip(("src", "dst"), RELATIONS[relation], strict=True):
+            if kind != "genre":
+                pairs = number_marked(pairs, marked()[kind], end)
         table = {"in_genre": "artist", "produced": "album", "preformed_by": "track"}[relation]
-        edges[relation] = structural_edges(pairs, "src", "dst", *ends, buckets_for(cleaned[table].count()))
-    for item in ITEMS:
-        if f"listened_to_{item}" in wanted:
-            buckets = buckets_for(cleaned["le"].count())
-            dense = dense_events(cleaned["le"], ids["user"], ids[item], item)
-            edge = weighted_edges(dense, normalize, buckets) if weighted else listen_edges(dense, buckets)
-            edges[f"listened_to_{item}"] = edge
-    edges |= {REVERSE[r]: reverse(d) for r, d in list(edges.items())}
-    return Graph({k: ids[k] for k in sorted(ids)}, {r: edges[r] for r in sorted(edges)})
+        return positions(pairs.select("src", "dst"), ["src", "dst"], "edge_id", buckets_for(cleaned[table].count()))
+
+    def listened(item: str) -> DataFrame:
+        buckets = buckets_for(cleaned["le"].count())
+        dense = number_events(cleaned["le"], marked()["user"], marked()[item], item)
+        return weighted_edges(dense, normalize, buckets) if weighted else listen_edges(dense, buckets)
+
+    forward = {r: partial(structural, r) for r in ("in_genre", "produced", "preformed_by") if r in wanted}
+    forward |= {f"listened_to_{k}": partial(listened, k) for k in ITEMS if f"listened_to_{k}" in wanted}
+    edges = Lazy(forward)
+    both = Lazy({r: lambda r=r: edges[r] for r in forward} | {REVERSE[r]: lambda r=r: reverse(edges[r]) for r in forward})
+    return Graph(Lazy(nodes), both)
 
 
 def _wanted(artists: bool, albums: bool, tracks: bool, relations: Sequence[str] | None) -> tuple[set[str], list[str]]:
@@ -149,23 +164,22 @@ def count_edges(
 ) -> DataFrame:
     """(relation, n) of the event graph, without numbering a node or an edge.
 
-    Ends are held against the cleaned tables by semi joins; events are read once
+    Ends are held against bitmaps of the cleaned tables' ids; events are read once
     for all relations.
     """
     wanted, kinds = _wanted(artists, albums, tracks, None)
-    known = {k: cleaned[k].select(f"{k}_id").where(f"{k}_id is not null").distinct() for k in kinds}
+    known = marked_ids(cleaned, kinds)
     parts = []
     for relation, pairs in _structural(cleaned, genre_lines, genres, wanted).items():
         for end, kind in zip(("src", "dst"), RELATIONS[relation], strict=True):
             if kind in known:
-                pairs = C.keep_ids(pairs, known[kind], end)
+                pairs = keep_marked(pairs, known[kind], end)
         parts.append(pairs.select(F.lit(relation).alias("relation")))
     items = [k for k in ITEMS if f"listened_to_{k}" in wanted]
-    heard = C.keep_ids(cleaned["le"], known["user"], "user_id").select(*[f"{k}_id" for k in items])
+    heard = keep_marked(cleaned["le"].select("user_id", *[f"{k}_id" for k in items]), known["user"], "user_id")
     for k in items:
-        ids = known[k].select(F.col(f"{k}_id").alias(f"_{k}"))
-        heard = heard.join(ids, F.col(f"{k}_id") == F.col(f"_{k}"), "left")
-    parts.append(heard.select(F.explode(F.array(*[F.when(F.col(f"_{k}").isNotNull(), f"listened_to_{k}") for k in items])).alias("relation")).where("relation is not null"))
+        heard = flag_marked(heard, known[k], f"{k}_id", f"_{k}")
+    parts.append(heard.select(F.explode(F.array(*[F.when(F.col(f"_{k}"), f"listened_to_{k}") for k in items])).alias("relation")).where("relation is not null"))
     counts = union_all(parts).groupBy("relation").agg(F.count("*").alias("n"))
     # a relation without edges counts as none, and each backward relation as its forward one
     names = cleaned["le"].sparkSession.createDataFrame([(r, back) for r, back in REVERSE.items() if r in wanted], "forward string, back string")

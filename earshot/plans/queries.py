@@ -17,7 +17,7 @@ from ..sources import adapter
 from ..sources.staging import staged
 from ..sources.raw import genre_dictionary, genre_lines, row_count
 from . import oracles as O
-from .pipelines import KINDS, build_graph, clean_all, count_edges, embed_graph, numbered, stage_tables, subset_users, union_all
+from .pipelines import KINDS, build_graph, clean_all, count_edges, embed_graph, marked_ids, numbered, stage_tables, subset_users, union_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,7 +80,8 @@ def _eligible(spark: SparkSession, d: str) -> DataFrame:
 
 def _dense(spark: SparkSession, d: str, item: str) -> DataFrame:
     cleaned = _staged(spark, d, "le", "user", item)
-    return playcount.dense_events(cleaned["le"], numbered(cleaned, "user"), numbered(cleaned, item), item)
+    marked = marked_ids(cleaned, ("user", item))
+    return playcount.number_events(cleaned["le"], marked["user"], marked[item], item)
 
 
 # Scans

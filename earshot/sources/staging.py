@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STAGED: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
@@ -38,7 +41,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _STAGED.add(found)
+    return found
+
+
+def staged_once(df: DataFrame, name: str) -> DataFrame:
+    """The table staged, unless it is a staged table as it stands."""
+    return df if df in _STAGED else staged(df, name)
 
 
 def drop_staged(spark: SparkSession) -> None:
