@@ -121,11 +121,20 @@ def flag_marked(df: DataFrame, bitmap: Bitmap, column: str, name: str) -> DataFr
     return _beside(df, bitmap, column, "words", how="left").select(*df.columns, F.coalesce(_has(column), F.lit(False)).alias(name))
 
 
+def _number(column: str) -> Column:
+    smaller = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), _bit(F.col(column))))
+    below = F.bit_count(_bits(column).bitwiseAND(smaller))
+    return (F.get("_before", _word(F.col(column)) - F.col("_first")) + below).cast("long")
+
+
 def number_marked(df: DataFrame, bitmap: Bitmap, column: str, name: str | None = None) -> DataFrame:
     """Rows whose id is in the set, with its dense id in its place, or as ``name``."""
     name = name or column
-    smaller = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), _bit(F.col(column))))
-    below = _bits(column).bitwiseAND(smaller)
-    number = F.get("_before", _word(F.col(column)) - F.col("_first")) + F.bit_count(below)
     kept = [F.col(c) for c in df.columns if c not in (column, name)]
-    return _beside(df, bitmap, column, "words", "before").where(_has(column)).select(*kept, number.cast("long").alias(name))
+    return _beside(df, bitmap, column, "words", "before").where(_has(column)).select(*kept, _number(column).alias(name))
+
+
+def number_or_null(df: DataFrame, bitmap: Bitmap, column: str, name: str) -> DataFrame:
+    """All rows, with the dense id of their id as ``name``, null where it is not in the set."""
+    rest = [c for c in df.columns if c != name]
+    return _beside(df, bitmap, column, "words", "before", how="left").select(*rest, F.when(_has(column), _number(column)).alias(name))

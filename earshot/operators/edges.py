@@ -74,13 +74,21 @@ def listen_edges(dense: DataFrame, buckets: int | None = None) -> DataFrame:
     return chronological(dense, buckets).select(F.col("user").alias("src"), F.col("item").alias("dst"), "edge_id", "ts")
 
 
-def weighted_edges(dense: DataFrame, normalize: bool = False, buckets: int | None = None) -> DataFrame:
-    """(src, dst, edge_id, weight): one edge per user and item, weight its plays or its share of them."""
+def weights(dense: DataFrame, normalize: bool = False) -> DataFrame:
+    """(src, dst, weight): one pair per user and item, weight its plays or its share of them."""
     if normalize:
         rows = relative_playcount(dense).withColumnRenamed("share", "weight")
     else:
         rows = playcount(dense).withColumn("weight", F.col("plays").cast("double")).drop("plays")
-    rows = rows.select(F.col("user").alias("src"), F.col("item").alias("dst"), "weight")
+    return rows.select(F.col("user").alias("src"), F.col("item").alias("dst"), "weight")
+
+
+def weighted_edges(dense: DataFrame, normalize: bool = False, buckets: int | None = None) -> DataFrame:
+    """(src, dst, edge_id, weight): ``weights`` numbered in order of (src, dst)."""
+    return number_weights(weights(dense, normalize), buckets)
+
+
+def number_weights(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     return positions(rows, ["src", "dst"], "edge_id", buckets).select("src", "dst", "edge_id", "weight")
 
 
@@ -113,10 +121,18 @@ class Lazy(Mapping):
 
 @dataclass
 class Graph:
-    """Tables of a typed graph; those of a ``Lazy`` mapping are made only where they are read."""
+    """Tables of a typed graph; those of a ``Lazy`` mapping are made only where they are read.
+
+    ``pairs`` are the edges without ids or attributes, where these need not be numbered first.
+    """
 
     nodes: Mapping[str, DataFrame]  # node type -> (raw_id, node_id)
     edges: Mapping[str, DataFrame]  # relation -> (src, dst, edge_id, ...)
+    pairs: Mapping[str, DataFrame] | None = None  # relation -> (src, dst)
+
+    def ends(self) -> Mapping[str, DataFrame]:
+        """Relations as (src, dst), and maybe more."""
+        return self.edges if self.pairs is None else self.pairs
 
     def node_counts(self) -> DataFrame:
         parts = [d.select(F.lit(t).alias("node_type")) for t, d in self.nodes.items()]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bitmaps import Bitmap, number_marked
+from .bitmaps import Bitmap, number_marked, number_or_null
 from .ids import positions, remap
 
 
@@ -21,6 +23,19 @@ def number_events(events: DataFrame, users: Bitmap, items: Bitmap, item: str) ->
     return number_marked(number_marked(rows, users, "user"), items, "item").select("user", "item", "ts")
 
 
+def number_all(events: DataFrame, users: Bitmap, items: Mapping[str, Bitmap]) -> DataFrame:
+    """(user, ts, and a column an item type) in dense ids, null where an item is unknown: one pass over events."""
+    rows = number_marked(events.select(F.col("user_id").alias("user"), *[f"{k}_id" for k in items], F.col("timestamp").alias("ts")), users, "user")
+    for k, bitmap in items.items():
+        rows = number_or_null(rows, bitmap, f"{k}_id", k)
+    return rows.select("user", "ts", *items)
+
+
+def of_item(numbered: DataFrame, item: str) -> DataFrame:
+    """(user, item, ts) of ``number_all``'s rows, as ``dense_events`` gives it."""
+    return numbered.where(F.col(item).isNotNull()).select("user", F.col(item).alias("item"), "ts")
+
+
 def playcount(dense: DataFrame) -> DataFrame:
     return dense.groupBy("user", "item").agg(F.count("*").alias("plays"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from .csr import CHUNK, adjacency, hot_chunks
 from .edges import RELATIONS
-from .ids import ranked_within
 
 LOOPS = {
     "track": ("listened_to_track", "track_listened_by"),
@@ -43,64 +45,91 @@ def draw(*parts: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """(src, rank, degree, dst): each node's edges numbered in order of (dst, edge_id)."""
-    ranked = ranked_within(edges.select("src", "dst", "edge_id"), "src", ["dst", "edge_id"], "rank")
-    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    return ranked.select("src", "rank", "dst").join(degrees, "src")
-
-
 def walks(
-    starts: DataFrame, edges: dict[str, DataFrame], path: Sequence[str], length: int, per_node: int, seed: int = 7, cut=None
+    starts: DataFrame, edges: Mapping[str, DataFrame], path: Sequence[str], length: int, per_node: int, seed: int = 7
 ) -> DataFrame:
     """(walk_id, step, node_type, node_id) of walks of at most ``length`` steps from every start.
 
-    ``starts`` has node_id. Step i follows relation i modulo the path's length to a
-    neighbour drawn by walk and step; a walk without neighbours ends. ``cut``
-    (DataFrame -> DataFrame) writes the neighbours and each step once; without it
-    every step is computed again for the ones after it.
+    ``starts`` has node_id, ``edges`` src and dst. Step i follows relation i modulo the
+    path's length to a neighbour drawn by walk and step; a walk without neighbours ends.
+    Adjacencies and each step are written once; a step moves the walkers only.
     """
     check_chain(path)
+    near = adjacency(edges, path)
     copies = F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("copy")
     at = starts.select("node_id", copies).select((F.col("node_id") * per_node + F.col("copy")).alias("walk_id"), "node_id")
-    out = at.select("walk_id", F.lit(0).alias("step"), F.lit(RELATIONS[path[0]][0]).alias("node_type"), "node_id")
-    tables = {r: neighbours(edges[r]) for r in set(path[:length])}
-    if cut is not None:
-        tables = {r: cut(t) for r, t in tables.items()}
+    out = [at.select("walk_id", F.lit(0).alias("step"), F.lit(RELATIONS[path[0]][0]).alias("node_type"), "node_id")]
+    ahead = staged(near.starts(at, path[0]).select("walk_id", "offset", "degree"), "walk")
+    walkers = ahead.count()
     for step in range(1, length + 1):
         relation = path[(step - 1) % len(path)]
-        degrees = tables[relation].where("rank = 0").select(F.col("src").alias("node_id"), "degree")
-        pick = F.pmod(draw(F.col("walk_id"), F.lit(step), seed=seed), F.col("degree"))
-        asked = at.join(degrees, "node_id").select("walk_id", F.col("node_id").alias("src"), pick.alias("rank"))
-        at = asked.join(tables[relation].select("src", "rank", "dst"), ["src", "rank"]).select("walk_id", F.col("dst").alias("node_id"))
-        if cut is not None:
-            at = cut(at)
-        out = out.union(at.select("walk_id", F.lit(step).alias("step"), F.lit(RELATIONS[relation][1]).alias("node_type"), "node_id"))
-    return out
-
-
-def contexts(steps: DataFrame, window: int, length: int) -> DataFrame:
-    """(walk_id, step, apart, a_type, a_id, b_type, b_id): the first node of each full window with each other node."""
-    a = steps.where(F.col("step") <= length + 1 - window).select(
-        "walk_id", "step", F.col("node_type").alias("a_type"), F.col("node_id").alias("a_id")
-    )
-    a = a.withColumn("apart", F.explode(F.sequence(F.lit(1), F.lit(window - 1))))
-    b = steps.select("walk_id", F.col("step").alias("b_step"), F.col("node_type").alias("b_type"), F.col("node_id").alias("b_id"))
-    joined = a.join(b, (a.walk_id == b.walk_id) & (F.col("step") + F.col("apart") == F.col("b_step")))
-    return joined.select(a.walk_id, "step", "apart", "a_type", "a_id", "b_type", "b_id")
-
-
-def negative_walks(starts: DataFrame, counts: dict[str, int], path: Sequence[str], length: int, per_node: int, negatives: int, seed: int = 11) -> DataFrame:
-    """(walk_id, negative, step, node_type, node_id): the types of a walk with nodes drawn evenly from their type.
+        place = F.col("offset") + F.pmod(draw(F.col("walk_id"), F.lit(step), seed=seed), F.col("degree"))
+        asked = ahead.where("degree > 0").select("walk_id", place.alias("place"))
+        asked = asked.select("walk_id", F.expr(f"place div {CHUNK}").alias("chunk"), F.expr(f"cast(place % {CHUNK} as int)").alias("at"))
+        ahead = staged(near.taken(asked, relation, hot_chunks(asked, walkers)), "walk")
+        kind = F.lit(RELATIONS[relation][1]).alias("node_type")
+        out.append(ahead.select("walk_id", F.lit(step).alias("step"), kind, F.col("dst").alias("node_id")))
+    return reduce(DataFrame.union, out)
+
+
+def walk_arrays(steps: DataFrame, *ids: str) -> DataFrame:
+    """(*ids, nodes): each walk as one array of (node_type, node_id) in order of its steps."""
+    ids = ids or ("walk_id",)
+    nodes = F.sort_array(F.collect_list(F.struct("step", "node_type", "node_id")))
+    return steps.groupBy(*ids).agg(F.transform(nodes, lambda n: F.struct(n["node_type"].alias("node_type"), n["node_id"].alias("node_id"))).alias("nodes"))
+
+
+def contexts(arrays: DataFrame, window: int, length: int) -> DataFrame:
+    """(*ids, step, apart, a_type, a_id, b_type, b_id): the first node of each full window with each other node.
+
+    ``arrays`` holds a walk's ``nodes`` in one row; pairs are cut out of it there.
+    """
+    ids = [c for c in arrays.columns if c != "nodes"]
+
+    def of_first(a: Column, at: Column) -> Column:
+        others = F.slice("nodes", at + 2, F.lit(window - 1))
+        return F.transform(
+            others,
+            lambda b, k: F.struct(
+                at.alias("step"),
+                (k + 1).alias("apart"),
+                a["node_type"].alias("a_type"),
+                a["node_id"].alias("a_id"),
+                b["node_type"].alias("b_type"),
+                b["node_id"].alias("b_id"),
+            ),
+        )
+
+    firsts = F.slice("nodes", F.lit(1), F.lit(length + 2 - window)) if length + 2 > window else F.slice("nodes", F.lit(1), F.lit(0))
+    pairs = F.explode(F.flatten(F.transform(firsts, of_first))).alias("p")
+    return arrays.select(*ids, pairs).select(*ids, "p.*")
+
+
+def negative_arrays(
+    starts: DataFrame, counts: Mapping[str, int], path: Sequence[str], length: int, per_node: int, negatives: int, seed: int = 11
+) -> DataFrame:
+    """(walk_id, negative, nodes): the types of a walk with nodes drawn evenly from their type, one row a walk.
 
     The first node is the walk's own; the numbers of nodes per type are given.
     """
     copies = F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("copy")
     ids = starts.select("node_id", copies).select((F.col("node_id") * per_node + F.col("copy")).alias("walk_id"), F.col("node_id").alias("start"))
     rows = ids.withColumn("negative", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))))
-    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(length))))
     types = [RELATIONS[r][0] for r in path]
-    kind = F.element_at(F.array(*[F.lit(t) for t in types]), F.pmod(F.col("step"), F.lit(len(path))) + 1)
-    size = F.element_at(F.create_map(*[F.lit(x) for t, n in counts.items() for x in (t, n)]), kind)
-    node = F.pmod(draw(F.col("walk_id"), F.col("negative"), F.col("step"), seed=seed), size)
-    return rows.select("walk_id", "negative", "step", kind.alias("node_type"), F.when(F.col("step") == 0, F.col("start")).otherwise(node).cast("long").alias("node_id"))
+    steps = [(types[k % len(types)], counts.get(types[k % len(types)], 0)) for k in range(length + 1)]
+    kinds = F.array(*[F.struct(F.lit(t).alias("node_type"), F.lit(n).cast("long").alias("n")) for t, n in steps])
+
+    def drawn(kind: Column, step: Column) -> Column:
+        node = F.pmod(draw(F.col("walk_id"), F.col("negative"), step, seed=seed), kind["n"])
+        return F.struct(kind["node_type"].alias("node_type"), F.when(step == 0, F.col("start")).otherwise(node).cast("long").alias("node_id"))
+
+    return rows.select("walk_id", "negative", F.transform(kinds, drawn).alias("nodes"))
+
+
+def negative_walks(
+    starts: DataFrame, counts: Mapping[str, int], path: Sequence[str], length: int, per_node: int, negatives: int, seed: int = 11
+) -> DataFrame:
+    """(walk_id, negative, step, node_type, node_id): ``negative_arrays`` a row a step."""
+    rows = negative_arrays(starts, counts, path, length, per_node, negatives, seed)
+    rows = rows.select("walk_id", "negative", F.posexplode("nodes").alias("step", "node"))
+    return rows.select("walk_id", "negative", "step", "node.node_type", "node.node_id")

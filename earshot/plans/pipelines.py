@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from functools import cache, partial, reduce
 
 from pyspark.sql import DataFrame
@@ -19,14 +20,17 @@ from ..operators.edges import (
     genres_by_name,
     genres_or_default,
     listen_edges,
+    number_weights,
     relations_of,
     reverse,
     weighted_edges,
+    weights,
 )
 from ..operators.ids import buckets_for, dense_ids, positions
-from ..operators.playcount import number_events, popular_artists, popularity
+from ..operators.playcount import number_all, number_events, of_item, popular_artists, popularity
 from ..operators.sampling import COUNTRIES, GENDERS, quota_sample
-from ..sources.staging import staged, staged_once
+from ..sources.event_store import EventStore, write_events
+from ..sources.staging import staged, staged_all, staging_dir
 
 Tables = dict[str, DataFrame]
 ITEMS = ("artist", "album", "track")
@@ -47,7 +51,7 @@ def clean_all(
     above the mean; ``restrict_to_events`` keeps only entities that events name.
     Named entities are staged once; so are events if several tables depend on them.
     """
-    names = {k: staged(C.named(tables[k], f"{k}_id", f"{k}_name"), f"named-{k}") for k in ITEMS}
+    names = staged_all({k: C.named(tables[k], f"{k}_id", f"{k}_name") for k in ITEMS})
     good = C.good_artist_ids(names["artist"], names["album"], names["track"])
     if popular_sigmas is not None:
         plays = staged(popularity(tables["artist"], tables["le"]), "plays")  # read for the cutoff and beside it
@@ -75,7 +79,7 @@ def subset_users(users: DataFrame, n: int, seed: int) -> DataFrame:
 
 def stage_tables(cleaned: Tables, kinds: Sequence[str] = KINDS) -> Tables:
     """The cleaned tables written once; what follows reads them many times."""
-    return {k: staged_once(cleaned[k], f"clean-{k}") for k in kinds}
+    return staged_all({k: cleaned[k] for k in kinds})
 
 
 def numbered(cleaned: Tables, kind: str) -> DataFrame:
@@ -116,19 +120,42 @@ def build_graph(
         for end, kind in zip(("src", "dst"), RELATIONS[relation], strict=True):
             if kind != "genre":
                 pairs = number_marked(pairs, marked()[kind], end)
+        return pairs.select("src", "dst")
+
+    def placed(relation: str) -> DataFrame:
         table = {"in_genre": "artist", "produced": "album", "preformed_by": "track"}[relation]
-        return positions(pairs.select("src", "dst"), ["src", "dst"], "edge_id", buckets_for(cleaned[table].count()))
+        return positions(structural(relation), ["src", "dst"], "edge_id", buckets_for(cleaned[table].count()))
+
+    def heard(item: str) -> DataFrame:
+        return number_events(cleaned["le"], marked()["user"], marked()[item], item)
 
     def listened(item: str) -> DataFrame:
         buckets = buckets_for(cleaned["le"].count())
-        dense = number_events(cleaned["le"], marked()["user"], marked()[item], item)
-        return weighted_edges(dense, normalize, buckets) if weighted else listen_edges(dense, buckets)
+        if not weighted:
+            return listen_edges(heard(item), buckets)
+        if len(items) < 2:
+            return weighted_edges(heard(item), normalize, buckets)
+        return number_weights(store().by_user(lambda events: weights(of_item(events, item), normalize)), buckets)
+
+    @cache
+    def store() -> EventStore:
+        """All events numbered, by user: shuffled once for all relations."""
+        rows = number_all(cleaned["le"], marked()["user"], {k: marked()[k] for k in items})
+        return write_events(rows, f"{staging_dir(rows.sparkSession)}/events-{uuid.uuid4().hex}", "user", "ts")
+
+    between = [r for r in ("in_genre", "produced", "preformed_by") if r in wanted]
+    items = [k for k in ITEMS if f"listened_to_{k}" in wanted]
+    ways = {r: partial(placed, r) for r in between} | {f"listened_to_{k}": partial(listened, k) for k in items}
+    ends = {r: partial(structural, r) for r in between}
+    ends |= {f"listened_to_{k}": lambda k=k: heard(k).toDF("src", "dst", "ts").select("src", "dst") for k in items}
+    return Graph(Lazy(nodes), _both_ways(ways), None if weighted else _both_ways(ends))
+
 
-    forward = {r: partial(structural, r) for r in ("in_genre", "produced", "preformed_by") if r in wanted}
-    forward |= {f"listened_to_{k}": partial(listened, k) for k in ITEMS if f"listened_to_{k}" in wanted}
-    edges = Lazy(forward)
-    both = Lazy({r: lambda r=r: edges[r] for r in forward} | {REVERSE[r]: lambda r=r: reverse(edges[r]) for r in forward})
-    return Graph(Lazy(nodes), both)
+def _both_ways(forward: dict[str, Callable[[], DataFrame]]) -> Lazy:
+    """Relations and their backward ones."""
+    made = Lazy(forward)
+    back = {REVERSE[r]: lambda r=r: reverse(made[r]) for r in forward}
+    return Lazy({r: lambda r=r: made[r] for r in forward} | back)
 
 
 def _wanted(artists: bool, albums: bool, tracks: bool, relations: Sequence[str] | None) -> tuple[set[str], list[str]]:
@@ -188,16 +215,15 @@ def count_edges(
     return both.select(F.explode(F.array("forward", "back")).alias("relation"), n.alias("n")).where("n > 0")
 
 
-def embedding_pairs(graph: Graph, length: int, window: int, per_node: int, negatives: int, cut=None) -> DataFrame:
+def embedding_pairs(graph: Graph, length: int, window: int, per_node: int, negatives: int) -> DataFrame:
     """(a_type, a_id, b_type, b_id, label): context pairs of walks, and of negative walks."""
     path = walks.metapath([t for t in graph.nodes if t in walks.LOOPS])
     starts = graph.nodes["user"].select("node_id")
     counts = {r.node_type: r.n for r in graph.node_counts().collect()}
     kept = ["a_type", "a_id", "b_type", "b_id"]
-    real = walks.walks(starts, graph.edges, path, length, per_node, cut=cut)
+    real = walks.walk_arrays(walks.walks(starts, graph.ends(), path, length, per_node))
     real = walks.contexts(real, window, length).select(*kept, F.lit(1).alias("label"))
-    drawn = walks.negative_walks(starts, counts, path, length, per_node, negatives)
-    drawn = drawn.withColumn("walk_id", F.col("walk_id") * negatives + F.col("negative")).drop("negative")
+    drawn = walks.negative_arrays(starts, counts, path, length, per_node, negatives)
     drawn = walks.contexts(drawn, window, length).select(*kept, F.lit(0).alias("label"))
     return real.unionByName(drawn)
 
@@ -215,7 +241,7 @@ def embed_graph(
     cut=None,
 ) -> DataFrame:
     """(node_type, node_id, vec) of every node, trained on metapath walks."""
-    pairs = embedding_pairs(graph, length, window, per_node, negatives, cut)
+    pairs = embedding_pairs(graph, length, window, per_node, negatives)
     if cut is not None:
         pairs = cut(pairs)
     nodes = graph.node_table().select("node_type", "node_id")

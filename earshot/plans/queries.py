@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -14,8 +15,10 @@ from ..operators import embed, encode, playcount, sampling, walks
 from ..operators.edges import RELATIONS, REVERSE, Graph, genres_by_name, genres_or_default, identity_features, relations_of
 from ..operators.ids import dense_ids, remap
 from ..sources import adapter
-from ..sources.staging import staged
-from ..sources.raw import genre_dictionary, genre_lines, row_count
+from ..sources.event_store import write_events
+from ..sources.raw import genre_dictionary, genre_lines, row_count, scan_clean
+from ..sources.staging import staged, staging_dir
+from ..sources.store import graph_counts, read_vectors, write_graph, write_table, write_vectors
 from . import oracles as O
 from .pipelines import KINDS, build_graph, clean_all, count_edges, embed_graph, marked_ids, numbered, stage_tables, subset_users, union_all
 
@@ -444,17 +447,18 @@ def _starts(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
 @register("metapath_walks", "select walk_id, step, node_type, node_id from walk_steps")
 def metapath_walks(spark: SparkSession, d: str) -> DataFrame:
     graph, starts = _starts(spark, d)
-    return walks.walks(starts, graph.edges, walks.metapath(ITEMS), O.WALK_LENGTH, O.WALKS, cut=lambda df: staged(df, "walk"))
+    return walks.walks(starts, graph.ends(), walks.metapath(ITEMS), O.WALK_LENGTH, O.WALKS)
 
 
 @register(
     "walk_contexts",
-    "select a.walk_id, a.step, b.step - a.step as apart, a.node_type as a_type, a.node_id as a_id, b.node_type as b_type, b.node_id as b_id "
-    f"from walk_steps a join walk_steps b on a.walk_id = b.walk_id and b.step between a.step + 1 and a.step + {O.WINDOW - 1} "
-    f"where a.step <= {O.WALK_LENGTH + 1 - O.WINDOW}",
+    "select walk_id, step, apart, types[step + 1] as a_type, nodes[step + 1] as a_id, types[step + apart + 1] as b_type, "
+    "nodes[step + apart + 1] as b_id from (select walk_id, list(node_id order by step) as nodes, list(node_type order by step) as types "
+    f"from walk_steps group by walk_id) w, range({O.WALK_LENGTH + 2 - O.WINDOW}) s(step), range(1, {O.WINDOW}) p(apart) "
+    "where step + apart < len(nodes)",
 )
 def walk_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return walks.contexts(metapath_walks(spark, d), O.WINDOW, O.WALK_LENGTH)
+    return walks.contexts(walks.walk_arrays(metapath_walks(spark, d)), O.WINDOW, O.WALK_LENGTH)
 
 
 @register(
@@ -473,7 +477,7 @@ def negative_walks(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     graph, _ = _starts(spark, d)
-    played = graph.edges["listened_to_artist"].groupBy(F.col("src").alias("user"), F.col("dst").alias("item")).count()
+    played = graph.ends()["listened_to_artist"].groupBy(F.col("src").alias("user"), F.col("dst").alias("item")).count()
     size = graph.nodes["artist"].count()
     ends = [F.lit("user").alias("a_type"), F.col("user").alias("a_id"), F.lit("artist").alias("b_type")]
     real = played.select(*ends, F.col("item").alias("b_id"), F.lit(1).alias("label"))
@@ -531,6 +535,75 @@ def encode_text(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_text(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", 16)
 
 
+# Stored tables, written and read back
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("stored_events", "select * from le_c")
+def stored_events(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned events through a store by user."""
+    return write_events(_clean(spark, d, "le")["le"], _place(spark, "store")).events()
+
+
+@register("stored_playcounts", " union all ".join(f"select '{k}' as item_type, \"user\", item, plays from plays_{k}" for k in ITEMS))
+def stored_playcounts(spark: SparkSession, d: str) -> DataFrame:
+    """Plays of all item types, by one shuffle of events."""
+    cleaned = _staged(spark, d, "le", "user", *ITEMS)
+    marked = marked_ids(cleaned, ("user", *ITEMS))
+    rows = playcount.number_all(cleaned["le"], marked["user"], {k: marked[k] for k in ITEMS})
+    store = write_events(rows, _place(spark, "store"), "user", "ts")
+    plays = lambda events, k: playcount.playcount(playcount.of_item(events, k)).select(F.lit(k).alias("item_type"), "user", "item", "plays")
+    return union_all([store.by_user(partial(plays, k=k)) for k in ITEMS])
+
+
+@register("stored_table", "select * from album_c")
+def stored_table(spark: SparkSession, d: str) -> DataFrame:
+    """A cleaned table through tab-separated text and the strict scan."""
+    path = _place(spark, "albums")
+    write_table(_clean(spark, d, "album")["album"], path, "tsv")
+    return scan_clean(spark, path, "album")
+
+
+@register("stored_vectors", f"select node_type, node_id, list(round(x, 6) order by k) as vec from sgns_vec where node_type = 'artist' group by node_type, node_id")
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of one node type out of those of all."""
+    path = _place(spark, "vectors")
+    nodes = _graph(spark, d, ("artist",)).node_table().where(F.col("node_type").isin("user", "artist"))
+    write_vectors(embed.start_vectors(nodes.select("node_type", "node_id"), O.DIM), path)
+    found = read_vectors(spark, path, "artist")
+    return found.select("node_type", "node_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@register(
+    "stored_graph_counts",
+    "select 'node' as part, node_type as name, n from node_sizes union all "
+    + " union all ".join(f"select 'edge' as part, '{r}' as name, count(*) as n from {r}" for r in REVERSE),
+)
+def stored_graph_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a graph written whole and loaded again."""
+    path = _place(spark, "graph")
+    write_graph(_graph(spark, d), path)
+    return graph_counts(spark, path)
+
+
+@register(
+    "metapath_table",
+    " union all ".join(
+        f"select {k} as step, '{r}' as relation, '{a}' as src_type, '{b}' as dst_type, count(*) as n from {r}"
+        for k, (r, a, b) in enumerate(zip(O.WALK_PATH, O.WALK_ENDS[:-1], O.WALK_ENDS[1:], strict=True))
+    ),
+)
+def metapath_table(spark: SparkSession, d: str) -> DataFrame:
+    """The metapath of the full graph with the edges of each of its relations."""
+    path = walks.metapath(ITEMS)
+    rows = [(k, r, *RELATIONS[r]) for k, r in enumerate(path)]
+    table = spark.createDataFrame(rows, "step int, relation string, src_type string, dst_type string")
+    return F.broadcast(table).join(_combination(ITEMS, spark, d), "relation").select("step", "relation", "src_type", "dst_type", "n")
+
+
 # Subsets
 
 

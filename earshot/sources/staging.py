@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import weakref
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,12 @@ def staged_once(df: DataFrame, name: str) -> DataFrame:
     return df if df in _STAGED else staged(df, name)
 
 
+def staged_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables that do not depend on one another, staged at the same time; those that are staged stay as they are."""
+    with ThreadPoolExecutor(len(tables) or 1) as pool:
+        return dict(zip(tables, pool.map(staged_once, tables.values(), tables), strict=True))
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete all that this application has staged; results that still read it are lost."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))

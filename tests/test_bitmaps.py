@@ -102,13 +102,10 @@ def test_only_what_is_read_is_built(spark, monkeypatch):
     assert len(edges()) == 1
 
 
-def test_events_are_staged_once(spark, monkeypatch):
-    from earshot.plans import pipelines, queries
+def test_events_are_staged_once(spark):
+    from earshot.plans import queries
     from earshot.sources import staging
 
-    written = []
-    keep = lambda d, n: written.append(n) or staging.staged(d, n)
-    monkeypatch.setattr(pipelines, "staged", keep)
-    monkeypatch.setattr(pipelines, "staged_once", lambda d, n: d if d in staging._STAGED else keep(d, n))
-    queries._staged(spark, "/root/testdata/sf0.001", "le", "user", "artist")
-    assert written.count("clean-le") == 1
+    cleaned = queries._clean(spark, "/root/testdata/sf0.001", "le", "user", "artist")
+    assert cleaned["le"] in staging._STAGED
+    assert queries.stage_tables(cleaned, ("le", "user", "artist"))["le"] is cleaned["le"]

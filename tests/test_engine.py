@@ -113,7 +113,7 @@ def test_walk_steps_are_edges(spark):
             a, b = steps[k], steps[k + 1]
             assert ((a, b) if k % 2 == 0 else (b, a)) in pairs
     assert len(by[4]) == 1 and len(by[0]) == 5
-    apart = walks.contexts(walks.walks(starts, edges, path, 4, 2), 3, 4)
+    apart = walks.contexts(walks.walk_arrays(walks.walks(starts, edges, path, 4, 2)), 3, 4)
     assert apart.where("walk_id = 0").count() == 6
 
 
