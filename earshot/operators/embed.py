@@ -86,3 +86,25 @@ def train(
             if cut is not None:
                 vectors = cut(vectors)
     return vectors.select(*NODE, "vec")
+
+
+MOST_WORDS = 1_000_000  # nodes that hierarchical softmax takes: vectors and tree are whole on the driver
+
+
+def train_word2vec(arrays: DataFrame, dim: int, window: int = 5, epochs: int = 5, rate: float = 0.025, seed: int = 5, most: int = MOST_WORDS) -> DataFrame:
+    """(node_type, node_id, vec) of the nodes on walks (``nodes``), by skip-gram with hierarchical softmax.
+
+    For small graphs: Spark ML keeps all vectors on the driver and sends them to every
+    task, so more than ``most`` different nodes are refused.
+    """
+    from pyspark.ml.feature import Word2Vec
+
+    words = arrays.select(F.transform("nodes", lambda n: F.concat_ws(":", n["node_type"], n["node_id"].cast("string"))).alias("words"))
+    n = words.select(F.explode("words").alias("w")).distinct().limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} nodes: train in blocks instead")
+    model = Word2Vec(vectorSize=dim, minCount=0, windowSize=window, maxIter=epochs, stepSize=rate, seed=seed, inputCol="words").fit(words)
+    from pyspark.ml.functions import vector_to_array
+
+    found = model.getVectors().select(F.split("word", ":").alias("w"), vector_to_array("vector").alias("vec"))
+    return found.select(F.get("w", F.lit(0)).alias("node_type"), F.get("w", F.lit(1)).cast("long").alias("node_id"), "vec")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators import embed, walks
 from ..operators.bitmaps import Bitmap, flag_marked, id_bitmaps, keep_marked, number_marked
+from ..operators.blocks import train_blocks
 from ..operators.edges import (
     RELATIONS,
     REVERSE,
@@ -215,14 +216,19 @@ def count_edges(
     return both.select(F.explode(F.array("forward", "back")).alias("relation"), n.alias("n")).where("n > 0")
 
 
+def walk_rows(graph: Graph, length: int, per_node: int) -> DataFrame:
+    """(walk_id, nodes): metapath walks from every user."""
+    path = walks.metapath([t for t in graph.nodes if t in walks.LOOPS])
+    return walks.walk_arrays(walks.walks(graph.nodes["user"].select("node_id"), graph.ends(), path, length, per_node))
+
+
 def embedding_pairs(graph: Graph, length: int, window: int, per_node: int, negatives: int) -> DataFrame:
     """(a_type, a_id, b_type, b_id, label): context pairs of walks, and of negative walks."""
     path = walks.metapath([t for t in graph.nodes if t in walks.LOOPS])
     starts = graph.nodes["user"].select("node_id")
     counts = {r.node_type: r.n for r in graph.node_counts().collect()}
     kept = ["a_type", "a_id", "b_type", "b_id"]
-    real = walks.walk_arrays(walks.walks(starts, graph.ends(), path, length, per_node))
-    real = walks.contexts(real, window, length).select(*kept, F.lit(1).alias("label"))
+    real = walks.contexts(walk_rows(graph, length, per_node), window, length).select(*kept, F.lit(1).alias("label"))
     drawn = walks.negative_arrays(starts, counts, path, length, per_node, negatives)
     drawn = walks.contexts(drawn, window, length).select(*kept, F.lit(0).alias("label"))
     return real.unionByName(drawn)
@@ -237,15 +243,24 @@ def embed_graph(
     negatives: int = 10,
     rate: float = 0.1,
     epochs: int = 5,
-    batches: int = 1,
-    cut=None,
+    batch: int = 512,
+    method: str = "blocks",
 ) -> DataFrame:
-    """(node_type, node_id, vec) of every node, trained on metapath walks."""
-    pairs = embedding_pairs(graph, length, window, per_node, negatives)
-    if cut is not None:
-        pairs = cut(pairs)
+    """(node_type, node_id, vec) of every node, trained on metapath walks.
+
+    ``method``: ``blocks`` trains with negative walks in mini-batches of ``batch`` pairs;
+    ``joins`` with the mean gradient of all pairs at once; ``word2vec`` with hierarchical
+    softmax, for small graphs, where a node on no walk has no vector.
+    """
+    if method == "word2vec":
+        return embed.train_word2vec(staged(walk_rows(graph, length, per_node), "walks"), dim, window, epochs)
+    if method not in ("blocks", "joins"):
+        raise ValueError(f"unknown method: {method!r}")
+    pairs = staged(embedding_pairs(graph, length, window, per_node, negatives), "pairs")
     nodes = graph.node_table().select("node_type", "node_id")
-    return embed.train(pairs, nodes, dim, rate, epochs, batches, cut=cut)
+    if method == "joins":
+        return embed.train(pairs, nodes, dim, rate, epochs, cut=lambda df: staged(df, "vectors"))
+    return train_blocks(pairs, embed.start_vectors(nodes, dim), rate, epochs, batch)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

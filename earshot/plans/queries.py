@@ -501,7 +501,7 @@ def sgns_step(spark: SparkSession, d: str) -> DataFrame:
 @register("node_embeddings")
 def node_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of all nodes of the full graph, from walks once round its metapath; all else by default."""
-    return embed_graph(_graph(spark, d), length=O.WALK_LENGTH, cut=lambda df: staged(df, "walk"))
+    return embed_graph(_graph(spark, d), length=O.WALK_LENGTH)
 
 
 # Encoders
