@@ -7,8 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ids import ranked_within
-
 # Shares in thousandths of a percent.
 COUNTRIES = {
     "US": 18581,
@@ -79,13 +77,30 @@ def seeded_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.withColumn("order_key", seeded_key(id_col, seed))
 
 
+def first_within(keyed: DataFrame, group: str, limit: str, place: str) -> DataFrame:
+    """The first ``limit`` rows of each group in order of ``order_key``, and their 0-based place.
+
+    Rows are counted by ranges of their keys, which are even; ranges that begin behind
+    a group's limit are left out, and rows are ranked within a range only. No group
+    is gathered and nothing is sorted as a whole. ``limit`` is one number a group.
+    """
+    ranged = keyed.withColumn("_range", F.substring("order_key", 1, RANGE_DIGITS))
+    counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"), F.first(limit).alias("_most"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range")) - F.col("_n")
+    begun = counts.withColumn("_before", before).where(F.col("_before") < F.col("_most"))
+    begun = begun.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), "_before")
+    inside = ranged.join(begun, (F.col(group) == F.col("_group")) & (F.col("_range") == F.col("_at")))
+    nth = F.row_number().over(Window.partitionBy("_group", "_at").orderBy("order_key")) - 1
+    placed = inside.withColumn(place, F.col("_before") + nth).where(F.col(place) < F.col(limit))
+    return placed.drop("_range", "_group", "_at", "_before")
+
+
 def stratified_sample(users: DataFrame, column: str, quota: dict[str, int], seed: int) -> DataFrame:
     """The first so many users of each value in seeded order, with their place."""
     table = users.sparkSession.createDataFrame(list(quota.items()), f"{column} string, quota long")
-    keyed = seeded_order(users.select("user_id", column), "user_id", seed)
-    ranked = ranked_within(keyed, column, ["order_key"], "rank").withColumn("place", F.col("rank") + 1)
-    ranked = ranked.join(F.broadcast(table), column)  # one row per value
-    return ranked.where("place <= quota").select("user_id", column, F.col("place").cast("long").alias("place"))
+    keyed = seeded_order(users.select("user_id", column), "user_id", seed).join(F.broadcast(table), column)  # one row per value
+    ranked = first_within(keyed, column, "quota", "rank")
+    return ranked.select("user_id", column, (F.col("rank") + 1).cast("long").alias("place"))
 
 
 @dataclass
@@ -145,7 +160,7 @@ def quota_sample(eligible: DataFrame, n: int, seed: int) -> DataFrame:
     )
     margins = list(MARGINS)
     keyed = seeded_order(eligible.select("user_id", *margins), "user_id", seed).withColumn("_cell", F.concat_ws("|", *margins))
-    cells = ranked_within(keyed, "_cell", ["order_key"], "_place").where(F.col("_place") < least)
+    cells = first_within(keyed.withColumn("_least", least), "_cell", "_least", "_place")
     cells = cells.select("user_id", "order_key", *margins).persist()
     try:
         while not state.closed():

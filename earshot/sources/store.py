@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -22,6 +22,16 @@ def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
         raise ValueError(f"unknown form: {form!r}")
 
 
+def write_by_artist(df: DataFrame, path: str, key: str) -> dict[str, int]:
+    """Write a cleaned entity table sorted by artist; (rows, artists) as the write itself has counted them."""
+    seen = Observation()
+    by = Window.partitionBy("artist_id").orderBy(key)
+    first = df.withColumn("_first", F.row_number().over(by) == 1)
+    counts = first.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("_first"), 1)).alias("artists"))
+    counts.drop("_first").write.mode("overwrite").parquet(path)
+    return dict(seen.get)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Can a Parquet table be read at the path? Works on any store that Spark reads."""
     try:
