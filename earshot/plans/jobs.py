@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.clean import require_agreement
 from ..operators.edges import Graph, identity_features, vector_features
 from ..sources.raw import read_genre_dictionary, read_genre_lines, split_raw
-from ..sources.staging import staged
+from ..sources.staging import staged, staged_within
 from ..sources.store import load_graph, read_vectors, write_by_artist, write_graph, write_table, write_vectors
 from ..sources.versions import built, current, fingerprint
 from .pipelines import KINDS, Tables, build_graph, clean_all, embed_graph, stage_tables, subset_users, union_all
@@ -54,7 +54,8 @@ def preprocess(
         write_table(spark.createDataFrame(counts, "kind string, n_lines long, n_kept long, n_rejected long").coalesce(1), f"{folder}/{LINES}")
 
     options = {"n_users": n_users, "popular_sigmas": popular_sigmas, "restrict_to_events": restrict_to_events, "seed": seed}
-    built(spark, out_dir, options | {"input": fingerprint(spark, raw_dir)}, build, overwrite)
+    with staged_within(spark):
+        built(spark, out_dir, options | {"input": fingerprint(spark, raw_dir)}, build, overwrite)
     return clean_tables(spark, out_dir)
 
 
@@ -105,19 +106,19 @@ def build(
     found = current(spark, clean_dir)
     inputs = {"input": fingerprint(spark, clean_dir if found is None else found[0])}
     inputs |= {f"input {name}": fingerprint(spark, f"{raw_dir}/{name}") for name in (GENRE_LINES, GENRES)}
-    folder = built(spark, f"{graph_dir}/graph", options | inputs, write, overwrite)
+    with staged_within(spark):
+        folder = built(spark, f"{graph_dir}/graph", options | inputs, write, overwrite)
     graph = load_graph(spark, folder)
     if not embed:
         return graph, identity_features(graph.node_table())
     training = {"dim": dim, "length": length, "window": window, "per_node": per_node, "negatives": negatives}
     training |= {"rate": rate, "epochs": epochs, "batch": batch, "method": method, "graph": folder.rsplit("/", 1)[-1]}
-    vectors = built(
-        spark,
-        f"{graph_dir}/vectors",
-        training,
-        lambda path: write_vectors(embed_graph(graph, dim, length, window, per_node, negatives, rate, epochs, batch, method), path),
-        overwrite,
-    )
+
+    def train(path: str) -> None:
+        write_vectors(embed_graph(graph, dim, length, window, per_node, negatives, rate, epochs, batch, method), path)
+
+    with staged_within(spark):
+        vectors = built(spark, f"{graph_dir}/vectors", training, train, overwrite)
     return graph, vector_features(graph.node_table(), read_vectors(spark, vectors), dim)
 
 

@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.schemas import invalid, typed, valid
+from ..functions.schemas import invalid, timestamp_seconds, typed, valid
 from ..operators import clean as C
 from ..operators import embed, encode, playcount, sampling, walks
 from ..operators.edges import RELATIONS, REVERSE, Graph, genres_by_name, genres_or_default, identity_features, relations_of
@@ -142,6 +142,12 @@ def project_ids(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "album").select("album_id", "artist_id")
 
 
+@register("order_seconds", "select o_orderkey, cast(epoch(o_orderdate) as bigint) as seconds from orders")
+def order_seconds(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select("o_orderkey", timestamp_seconds(F.col("o_orderdate")).alias("seconds"))
+
+
 @register("fill_user_attrs", "select * replace (coalesce(country, 'NA') as country, coalesce(gender, 'NA') as gender) from user_t")
 def fill_user_attrs(spark: SparkSession, d: str) -> DataFrame:
     return C.fill_attributes(_table(spark, d, "user"))

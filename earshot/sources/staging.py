@@ -6,10 +6,14 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
+_JOB: ContextVar[str] = ContextVar("job", default="")  # the folder of the running job
 _STAGED: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
@@ -31,7 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staging_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/earshot-{spark.sparkContext.applicationId}"
+    """The folder of what this application stages, or of what the job around it does (``staged_within``)."""
+    return f"{shared_dir(spark)}/earshot-{spark.sparkContext.applicationId}{_JOB.get()}"
+
+
+@contextmanager
+def staged_within(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end; only what was written elsewhere may be read after it."""
+    token = _JOB.set(f"{_JOB.get()}/job-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, staging_dir(spark))
+        _JOB.reset(token)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -55,10 +71,15 @@ def staged_once(df: DataFrame, name: str) -> DataFrame:
 def staged_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables that do not depend on one another, staged at the same time; those that are staged stay as they are."""
     with ThreadPoolExecutor(len(tables) or 1) as pool:
-        return dict(zip(tables, pool.map(staged_once, tables.values(), tables), strict=True))
+        jobs = {k: pool.submit(copy_context().run, staged_once, df, k) for k, df in tables.items()}
+        return {k: job.result() for k, job in jobs.items()}
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete all that this application has staged; results that still read it are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
+    _delete(spark, staging_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from earshot.plans import jobs
-from earshot.sources import versions
+from earshot.sources import staging, versions
 
 USERS = ["user_id\tcountry\tage\tgender\tplaycount\tregistered_unixtime"] + [f"{i}\tUS\t20\tm\t9000\t5" for i in range(1, 5)]
 TABLES = {
@@ -19,18 +21,27 @@ TABLES = {
 }
 
 
+def staged_files(spark):
+    """What lies in the folder of staged tables: jobs leave nothing there."""
+    folder = staging.staging_dir(spark).removeprefix("file:")
+    return sorted(os.path.join(d, n) for d, _, names in os.walk(folder) for n in names)
+
+
 def test_preprocess_build_and_load(spark, tmp_path):
     raw, clean, graph = (str(tmp_path / n) for n in ("raw", "clean", "graph"))
     (tmp_path / "raw").mkdir()
     for name, lines in TABLES.items():
         (tmp_path / "raw" / name).write_text("\n".join(lines) + "\n")
+    before = staged_files(spark)
     tables = jobs.preprocess(spark, raw, clean)
+    assert staged_files(spark) == before
     assert {k: t.count() for k, t in tables.items()} == {"artist": 2, "album": 2, "track": 2, "le": 4, "user": 2}
     built, feats = jobs.build(spark, clean, raw, graph, length=8, per_node=1, negatives=2, dim=4)
     assert {(r.relation, r.n) for r in built.edge_counts().collect()} >= {("listened_to_track", 4), ("preformed", 2), ("in_genre", 2)}
     assert {(r.node_type, r.n) for r in built.node_counts().collect()} == {("user", 2), ("artist", 2), ("album", 2), ("track", 2), ("genre", 3)}
     assert {(r.node_type, r.node_id): r.raw_id for r in jobs.raw_ids(built, ["album"]).collect()} == {("album", 0): 10, ("album", 1): 20}
     rows = feats.collect()
+    assert staged_files(spark) == before
     assert len(rows) == 11 and all(len(r.feat) == 4 for r in rows)
     # what is stored is read and not built again, even with the raw folder gone
     (tmp_path / "raw" / "artist_genres").unlink()
