@@ -217,6 +217,16 @@ def test_entropy_windows_against_recount():
         assert got == covered
 
 
+def test_allow_list_takes_exact_forms_only():
+    scanner = secret_scan.Scanner(secret_scan.CLASSES, secret_scan.ALLOWED)
+    key = "Zq8Rk2Lm9Tx4Vb7Nc1Wd6"
+    for text in (key, f"{key}EXAMPLE", f"{key}EXAMPLEKEY", f"sha1-{key}", f"sha256-x/{key}Kp", f"md5-{key}Kp"):
+        assert scanner.entropy(text), text
+    full = (key * 5)[:86]
+    for name, n in (("md5", 22), ("sha1", 27), ("sha256", 43), ("sha384", 64), ("sha512", 86)):
+        assert not scanner.entropy(f"{name}-{full[:n]}"), name
+
+
 def test_allow_list_suppresses():
     scanner = secret_scan.Scanner(secret_scan.CLASSES, secret_scan.ALLOWED)
     assert not scanner.entropy("id 123e4567-e89b-42d3-a456-426614174000 end")
