@@ -12,8 +12,8 @@ neither the driver nor a task ever holds more than a block; a benchmark of one b
 the usual size, takes a single pass. Hits are found per document, without a shuffle.
 
 Defined results: null or empty texts hold no item; null or empty items are never
-found; items of fewer than ``shortest`` characters, too short for an edit or for
-chance not to matter, are found where they stand as whole words, without edits;
+found; items of fewer than ``shortest`` characters, short enough for chance to matter,
+are found where they stand as whole words, with the edits that the rate gives them;
 repeated rows and null ids are searched row by row; an item id that stands twice,
 or a null one, is found item by item; an empty table on either side gives an empty
 result; other columns are ignored.
@@ -79,6 +79,23 @@ def least_distance(item_masks: dict[str, int], m: int, text: str) -> int:
     return best
 
 
+def whole_distance(item_masks: dict[str, int], m: int, text: str) -> int:
+    """Edits from the item to all of ``text`` (Myers, bit-parallel)."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m
+    for c in text:
+        eq = item_masks.get(c, 0)
+        down = eq | minus
+        across = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | (full & ~(across | plus))
+        lower = plus & across
+        score += 1 if up & top else -1 if lower & top else 0
+        up = (up << 1 | 1) & full
+        plus = (lower << 1 & full) | (full & ~(down | up))
+        minus = up & down
+    return score
+
+
 class Matcher:
     """All items of a block: the automaton over their pieces, and the verifier."""
 
@@ -90,11 +107,12 @@ class Matcher:
             if not text:
                 continue
             edits = math.floor(rate * len(text))
-            if len(text) < shortest:  # stands as whole words, in one piece
-                text, edits = f" {text} ", 0
+            bound = len(text) < shortest  # stands as whole words
+            if bound and not edits:
+                text = f" {text} "
             for offset, piece in pieces(text, edits):
                 words.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, text, edits, masks(text)))
+            self.items.append((item_id, text, edits, masks(text), bound and edits > 0))
         self.automaton = ahocorasick.Automaton()
         for word, places in words.items():
             self.automaton.add_word(word, (len(word), places))
@@ -112,8 +130,11 @@ class Matcher:
             for k, offset in places:
                 starts.setdefault(k, set()).add(end + 1 - size - offset)
         for k, diagonals in starts.items():
-            item_id, item, edits, item_masks = self.items[k]
+            item_id, item, edits, item_masks, bound = self.items[k]
             best = edits + 1
+            if bound:
+                best = min((self.between_words(item, item_masks, edits, text, d) for d in diagonals), default=best)
+                diagonals = ()
             for window in self.windows(sorted(diagonals), len(item), edits):
                 part = text[max(0, window[0]) : window[1]]
                 best = 0 if item in part else min(best, least_distance(item_masks, len(item), part))
@@ -123,6 +144,18 @@ class Matcher:
                 found.append((item_id, best))
         return found
 
+    @staticmethod
+    def between_words(item: str, item_masks: dict[str, int], edits: int, text: str, start: int) -> int:
+        """Fewest edits from the item to whole words of the text that begin about ``start``; more than ``edits`` if none are near."""
+        best = edits + 1
+        for a in range(max(1, start - edits), start + edits + 1):
+            if text[a - 1 : a] != " ":
+                continue
+            for b in range(a + len(item) - edits, min(a + len(item) + edits, len(text) - 1) + 1):
+                if text[b : b + 1] == " ":
+                    best = min(best, whole_distance(item_masks, len(item), text[a:b]))
+        return best
+
     @staticmethod
     def windows(diagonals: list[int], m: int, edits: int) -> Iterator[tuple[int, int]]:
         """Joined stretches of text around the given starts of an item."""
