@@ -13,7 +13,8 @@ candidate is held against the exact similarity.
 
 Equal sets are one node. Lists are not paired in full at once: in the first rounds
 each node meets one other, and once the representative of its SimHash group, and
-only what these links leave in different components meets all others. The first
+only what these links leave in different components meets all others whose size and
+place in the list let them be similar. The first
 round names the member of a list that holds the fewest rarer shingles, which is the
 text that a group of edited copies comes from, so most of a group is linked at once.
 Every node carries one bit for each class of shingle hashes, set if it holds an odd
@@ -31,6 +32,7 @@ all columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -296,6 +298,23 @@ def print_pairs(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     return beside.select(*_pair("node", "head"))
 
 
+def meeting(told: DataFrame, one: DataFrame) -> DataFrame:
+    """Members of each list beside those of ``one`` whose sizes and places in the list let them be similar.
+
+    The shapes (size, place) of a list's members are compared first, each once, and only
+    sizes that may be similar at all; members meet only where their shapes fit. Pages of one
+    template, of which too much is their own, have shapes that do not fit one another.
+    """
+    step = math.log(1.25)  # similar sets differ by this factor at most
+    band = lambda size: F.floor(F.log(F.greatest(F.col(size), F.lit(1))) / step).cast("int")
+    mine = told.select("token", "n", "place").distinct().withColumn("band", band("n"))
+    theirs = one.select("token", "m", "o_place").distinct().withColumn("band", F.explode(F.array(*[band("m") + k for k in (-1, 0, 1)])))
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("o_place"))
+    fits = mine.join(theirs, ["token", "band"]).where(9 * most >= 4 * (F.col("n") + F.col("m"))).drop("band")
+    fits = stored(fits, "shapes")
+    return told.join(fits, ["token", "n", "place"]).join(one, ["token", "m", "o_place"])
+
+
 def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(a, b), a < b, that join the ``nodes`` (node, hash, fp, odd) over all similar pairs.
 
@@ -329,7 +348,7 @@ def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int
             main = stored(main.where("labels > 1").select("token", F.col("main.label").alias("main")), "main")
             one = told.join(main, "token").where(F.col("label") != F.col("main"))
             one = stored(one.select("token", *[F.col(a).alias(b) for a, b in other.items()]), "apart")
-            pairs = told.join(one, "token").where(fit).select(*_pair("node", "other")).distinct()
+            pairs = meeting(told, one).where(fit).select(*_pair("node", "other")).distinct()
         if met:  # no pair is held against its sets twice
             pairs = pairs.join(reduce(DataFrame.union, met), ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidates")
@@ -364,6 +383,10 @@ def without_near_copies(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc
     same = F.col(at_id).eqNullSafe(F.col("s_id")) & (F.xxhash64(at_text) == F.col("s_hash"))
     left = flat.join(stay, same, "left_semi")
     twice = prints.groupBy("id", "hash").count().where("count > 1")
-    if not twice.isEmpty():  # rows that share id and text; one of them stays
-        left = left.dropDuplicates([at_id, at_text])
+    if not twice.isEmpty():  # of rows that share id and text the first by all their columns stays
+        told = left.withColumns({"told": F.to_json(F.struct(*places)), "hash": text_hash})
+        told = stored(told.withColumn("told", F.sha2("told", 256)), "told")
+        first = told.groupBy(F.col(at_id).alias("f_id"), F.col("hash").alias("f_hash")).agg(F.min("told").alias("f_told"))
+        same = F.col(at_id).eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash")) & (F.col("told") == F.col("f_told"))
+        left = told.join(first, same, "left_semi").select(*places).dropDuplicates([at_id, at_text])
     return left.toDF(*docs.columns)
