@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index, on DataFrame functions only.
 
-Templates of licence notices are indexed by their licence words: (word, template,
-place). Each file looks up all licence words it holds, which the templates bound;
-an occurrence at place p that a template has at place q votes for that template
+Templates of licence texts are indexed by their rare words, those of the highest idf over
+all templates, weighted by length: (word, template, place). Each file looks up all of these words it holds; an
+occurrence at place p that a template has at place q votes for that template
 starting at p - q, and templates with enough votes on one start are kept if all
 their mandatory key phrases stand in the file. Fixed base phrases are looked for besides, word by word.
 
@@ -18,6 +18,8 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stored
+from .licence_texts import TEXTS
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 VOTE_SHARE = 0.7  # of a template's licence words, on one start
@@ -37,36 +40,37 @@ class Template:
     keys: tuple[str, ...]
 
 
-# Notices, their key phrases, base phrases, and words too common to index.
-TEMPLATES = (
-    Template("apache-2-notice", "licensed under the apache license version 2 0", ("apache license version 2",)),
-    Template(
-        "bsd-clauses",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met",
-        ("redistribution and use in source and binary forms", "following conditions are met"),
-    ),
-    Template("cc-by-nc-4-notice", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    Template("gpl-3-notice", "licensed under the gnu general public license version 3", ("gnu general public license",)),
-    Template(
-        "mit-grant",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files the software to deal in the software without restriction",
-        ("permission is hereby granted free of charge", "without restriction"),
-    ),
-    Template("mit-notice", "released under the mit license", ("the mit license",)),
-    Template(
-        "mpl-2-notice",
-        "this source code form is subject to the terms of the mozilla public license v 2 0",
-        ("mozilla public license",),
-    ),
-)
+def _plain(text: str) -> str:
+    return " ".join(re.findall(r"[0-9a-z]+", text.lower()))
+
+
+TEMPLATES = tuple(Template(label, _plain(text), keys) for label, text, keys in TEXTS)
+# Base phrases.
 BASE_PHRASES = (
     ("mit", "under the mit license"),
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-COMMON = frozenset("a and any are by following in is met of or that the this to use with 0 2 3 4 v".split())
+RARE = 8  # words of the highest weight that a template brings into the index, half of its words at most
+TELLING = 3.0  # weight from which on a word of a base phrase is looked up too
+
+
+def word_weights(templates: Sequence[Template]) -> dict[str, float]:
+    """Each word's idf over the templates times its length: short words are frequent in any text."""
+    held = Counter(w for t in templates for w in set(t.text.split()))
+    return {w: math.log(len(templates) / n) * len(w) for w, n in held.items()}
+
+
+def rare_words(templates: Sequence[Template], phrases: Sequence[tuple[str, str]]) -> set[str]:
+    """The words of highest weight of each template, and those of the phrases that weigh enough."""
+    weights = word_weights(templates)
+    words = [sorted(set(t.text.split()), key=lambda w: (-weights[w], w)) for t in templates]
+    telling = {w for _, p in phrases for w in p.split() if weights.get(w, TELLING) >= TELLING}
+    return telling | {w for found in words for w in found[: min(RARE, max(2, len(found) // 2))]}
+
+
+# Words of the templates that are not looked up.
+COMMON = frozenset(w for t in TEMPLATES for w in t.text.split()) - rare_words(TEMPLATES, BASE_PHRASES)
 
 
 def licence_words(templates: Sequence[Template], phrases: Sequence[tuple[str, str]]) -> list[str]:
