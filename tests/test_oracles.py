@@ -37,6 +37,12 @@ SOME = (
     "subset_events",
     "build_graph",
     "edge_counts",
+    "order_seconds",
+    "stored_playcounts",
+    "stored_table",
+    "stored_vectors",
+    "stored_graph_counts",
+    "metapath_table",
 )
 
 
