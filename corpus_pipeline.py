@@ -20,27 +20,34 @@ from earshot.llm.near_copies import without_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the voting rules reject go."""
+    """Documents that the voting rules reject go; a null or empty text is one of them. Equal texts share their verdict."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays, of equal ids and texts the first by all columns.
+
+    Texts without words are copies of one another.
+    """
     return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item stands go."""
+    """Documents in which a benchmark item stands go; null texts hold none, null items stand nowhere."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand, whole, as often as the mix takes them."""
+    """Documents stand, whole, as often as the mix takes them.
+
+    A null source is a source of its own, a text without words is never taken, and of
+    equal rows on a cut as many are taken as fit.
+    """
     return mixed_corpus(docs, whole=True)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of the mix gets its shard and slot; copies stay together."""
+    """Every row of the mix gets its shard and slot; copies stay together, null texts among them."""
     return shard_documents(docs)
 
 
