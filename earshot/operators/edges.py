@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ids import positions, remap
+from .bitmaps import Bitmap, number_marked
+from .ids import positions
 from .playcount import chronological, playcount, relative_playcount
 
 # Relation -> (source type, destination type); reverses share edge ids.
@@ -56,17 +57,12 @@ def genres_or_default(pairs: DataFrame, artists: DataFrame, genres: DataFrame) -
     return pairs.unionByName(without.join(default))
 
 
-def structural_pairs(pairs: DataFrame, src: str, dst: str, src_ids: DataFrame, dst_ids: DataFrame | None) -> DataFrame:
-    """(src, dst) of raw id pairs in dense ids. Without ``dst_ids`` the destinations are dense already."""
-    rows = remap(pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst")), src_ids, "src")
-    if dst_ids is not None:
-        rows = remap(rows, dst_ids, "dst")
-    return rows.select("src", "dst")
-
-
-def structural_edges(pairs: DataFrame, src: str, dst: str, src_ids: DataFrame, dst_ids: DataFrame | None, buckets: int | None = None) -> DataFrame:
-    """(src, dst, edge_id) of raw id pairs, numbered in order of (src, dst)."""
-    return positions(structural_pairs(pairs, src, dst, src_ids, dst_ids), ["src", "dst"], "edge_id", buckets)
+def structural_pairs(pairs: DataFrame, src: Bitmap | None, dst: Bitmap | None) -> DataFrame:
+    """(src, dst) of raw id pairs in dense ids; an end without a bitmap is dense already."""
+    for end, ids in (("src", src), ("dst", dst)):
+        if ids is not None:
+            pairs = number_marked(pairs, ids, end)
+    return pairs.select("src", "dst")
 
 
 def listen_edges(dense: DataFrame, buckets: int | None = None) -> DataFrame:

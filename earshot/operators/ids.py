@@ -55,15 +55,3 @@ def remap(df: DataFrame, mapping: DataFrame, column: str, name: str | None = Non
     name = name or column
     kept = [F.col(c) for c in df.columns if c != column and c != name]
     return joined.select(*kept, F.col("_node").alias(name))
-
-
-def ranked_within(df: DataFrame, group: str, order: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
-    """Add the 0-based rank within a group: the place among all rows less that of the group's first.
-
-    No group is gathered in a task, however large.
-    """
-    placed = positions(df, [group, *order], "_place", buckets)
-    starts = placed.groupBy(group).agg(F.min("_place").alias("_start"))
-    starts = staged(starts, "starts").select(F.col(group).alias("_group"), "_start")
-    ranked = placed.join(starts, F.col(group).eqNullSafe(F.col("_group")))
-    return ranked.withColumn(name, F.col("_place") - F.col("_start")).drop("_place", "_group", "_start")

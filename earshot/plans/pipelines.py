@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import embed, walks
-from ..operators.bitmaps import Bitmap, flag_marked, id_bitmaps, keep_marked, number_marked
+from ..operators.bitmaps import Bitmap, flag_marked, id_bitmaps, keep_marked
 from ..operators.blocks import train_blocks
 from ..operators.edges import (
     RELATIONS,
@@ -24,6 +24,7 @@ from ..operators.edges import (
     number_weights,
     relations_of,
     reverse,
+    structural_pairs,
     weighted_edges,
     weights,
 )
@@ -118,10 +119,7 @@ def build_graph(
 
     def structural(relation: str) -> DataFrame:
         pairs = _structural(cleaned, genre_lines, genres, {relation})[relation]
-        for end, kind in zip(("src", "dst"), RELATIONS[relation], strict=True):
-            if kind != "genre":
-                pairs = number_marked(pairs, marked()[kind], end)
-        return pairs.select("src", "dst")
+        return structural_pairs(pairs, *(marked().get(kind) for kind in RELATIONS[relation]))
 
     def placed(relation: str) -> DataFrame:
         table = {"in_genre": "artist", "produced": "album", "preformed_by": "track"}[relation]

@@ -9,14 +9,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.schemas import invalid, timestamp_seconds, typed, valid
+from ..functions.schemas import COLUMNS, invalid, timestamp_seconds, typed, valid
 from ..operators import clean as C
 from ..operators import embed, encode, playcount, sampling, walks
 from ..operators.edges import RELATIONS, REVERSE, Graph, genres_by_name, genres_or_default, identity_features, relations_of
 from ..operators.ids import dense_ids, remap
 from ..sources import adapter
 from ..sources.event_store import write_events
-from ..sources.raw import genre_dictionary, genre_lines, row_count, scan_clean
+from ..sources.raw import genre_dictionary, genre_lines, row_count, scan_clean, split_raw
 from ..sources.staging import staged, staging_dir
 from ..sources.store import graph_counts, read_vectors, write_graph, write_table, write_vectors
 from . import oracles as O
@@ -573,6 +573,20 @@ def stored_table(spark: SparkSession, d: str) -> DataFrame:
     return scan_clean(spark, path, "album")
 
 
+@register(
+    "raw_rejects",
+    "select 'type of user_id' as reason, "
+    + " || chr(9) || ".join(f"coalesce({c}, '')" for c in COLUMNS["user"])
+    + f" as row from users_raw where {O.integer('user_id')} is null",
+)
+def raw_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a raw file that cannot be read, with the reason."""
+    path = _place(spark, "users")
+    adapter.raw(spark, d, "users_raw").write.csv(path, sep="\t", header=True)
+    _, rejects, _ = split_raw(spark, path, "user")
+    return rejects.select("reason", "row")
+
+
 @register("stored_vectors", f"select node_type, node_id, list(round(x, 6) order by k) as vec from sgns_vec where node_type = 'artist' group by node_type, node_id")
 def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of one node type out of those of all."""

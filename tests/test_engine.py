@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from earshot.operators import embed, sampling, walks
 from earshot.operators.edges import RELATIONS, Graph, listen_edges, relations_of, reverse, weighted_edges
-from earshot.operators.ids import dense_ids, positions, ranked_within
+from earshot.operators.ids import dense_ids, positions
 from earshot.sources import staging, store
 
 
@@ -28,12 +28,6 @@ def test_no_single_partition_for_many_buckets(spark):
     assert "SinglePartition" not in plan and "Python" not in plan
 
 
-def test_ranks_within_a_hub(spark):
-    df = spark.createDataFrame([(0, i * 7 % 101) for i in range(101)] + [(1, 5), (1, 3)], "src long, dst long")
-    got = {(r.src, r.dst): r["rank"] for r in ranked_within(df, "src", ["dst"], "rank", buckets=8).collect()}
-    assert all(got[0, k] == k for k in range(101)) and got[1, 3] == 0 and got[1, 5] == 1
-
-
 def greedy(people, n, seed):
     import hashlib
 
@@ -47,6 +41,23 @@ def greedy(people, n, seed):
     return out
 
 
+def test_first_of_each_group(spark):
+    """The first few of each group by key, a group of most rows among them, and their places."""
+    import hashlib
+
+    people = [(i, "hub" if i % 3 else f"g{i % 7}", 0 if i % 21 == 0 else 5) for i in range(3000)]
+    people = [(i, g, {"g0": 0, "hub": 1200}.get(g, 9)) for i, g, _ in people]
+    df = sampling.seeded_order(spark.createDataFrame(people, "user_id long, g string, most long"), "user_id", 3)
+    want = set()
+    for group in {g for _, g, _ in people}:
+        mine = sorted((i for i, g, _ in people if g == group), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())
+        most = {"g0": 0, "hub": 1200}.get(group, 9)
+        want |= {(i, group, k) for k, i in enumerate(mine[:most])}
+    found = sampling.first_within(df, "g", "most", "place")
+    assert {(r.user_id, r.g, r.place) for r in found.collect()} == want
+    assert "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [7, 60])
 def test_quota_sample_is_the_greedy_pass(spark, n):
     rnd = random.Random(n)

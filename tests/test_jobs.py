@@ -52,6 +52,15 @@ def test_preprocess_build_and_load(spark, tmp_path):
     assert few["user"].count() <= 1
 
 
+def test_dropping_what_is_staged(spark):
+    with staging.staged_within(spark):
+        found = staging.staged_all({"a": spark.range(3), "b": spark.range(4)})
+        assert found["b"].count() == 4 and staging.staged_once(found["a"], "again") is found["a"]
+        assert staged_files(spark)
+        staging.drop_staged(spark)
+        assert not staged_files(spark)
+
+
 def raw_folder(tmp_path, **changed):
     folder = tmp_path / f"raw{len(list(tmp_path.iterdir()))}"
     folder.mkdir()

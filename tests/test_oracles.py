@@ -40,6 +40,7 @@ SOME = (
     "order_seconds",
     "stored_playcounts",
     "stored_table",
+    "raw_rejects",
     "stored_vectors",
     "stored_graph_counts",
     "metapath_table",
