@@ -4,7 +4,9 @@ Each source gets a word target: the weights share out a multiple of all words,
 no source above a multiple of its own. A source first gives complete epochs, then
 a fractional selection: every document draws an exponential key scaled by its
 quality weight, documents are taken in key order and the prefix sum of their
-words is cut at the rest of the target. As a count of words (``mix_sources``) the
+words is cut at the rest of the target. The weight is the posterior probability of
+being good under the voting rules of ``quality``, fitted on all rows, and at least
+``LEAST_WEIGHT``, so that poor documents come last but may come. As a count of words (``mix_sources``) the
 document on the cut gives part of its words, so each source meets its target to
 the word. As a corpus of whole documents it is taken or left, whichever ends nearer
 the target; no text is changed.
@@ -29,7 +31,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, cut, pick, stored
+from .quality import RULES, VoteModel, fit_rules, text_statistics, verdict
 
+LEAST_WEIGHT = 0.1
 BUCKET_ROWS = 1024
 FAN = 1024  # buckets of a bucket
 FEW_SOURCES = 20_000  # whose plan is broadcast: some 2 MB
@@ -58,17 +62,26 @@ def count_words(column: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def symbol_weight(text: Column, words: Column) -> Column:
-    """A quality weight in (0, 1]: lower the more symbols a text has per word."""
-    symbols = F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0))
-    return 1.0 / (1.0 + symbols / F.greatest(words, F.lit(1)))
+def quality_weight(model: VoteModel, stats: str = "m_stats") -> Column:
+    """A weight in [LEAST_WEIGHT, 1] that grows with the posterior quality probability."""
+    return LEAST_WEIGHT + (1 - LEAST_WEIGHT) * verdict(model, RULES, stats)[2]
 
 
-def _with_key(rows: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    rows = rows.withColumn("m_size", count_words(text_col))
+def _drawn(rows: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """``rows`` with the statistics of their texts and 53 bits drawn by id and text."""
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text_col), 11)
-    key = -F.log((draw + 0.5) / float(1 << 53)) / symbol_weight(F.col(text_col), F.col("m_size"))
-    return rows.withColumn("m_key", key)
+    return rows.withColumn("m_stats", text_statistics(text_col)).withColumn("m_draw", draw)
+
+
+def _keyed(drawn: DataFrame, model: VoteModel) -> DataFrame:
+    """``m_size``, the words, and ``m_key``, the key scaled by quality, beside what was drawn."""
+    key = -F.log((F.col("m_draw") + 0.5) / float(1 << 53)) / quality_weight(model)
+    return drawn.withColumn("m_size", F.col("m_stats.n_words")).withColumn("m_key", key)
+
+
+def _with_key(rows: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    drawn = _drawn(rows, id_col, text_col, seed)
+    return _keyed(drawn, fit_rules(drawn, RULES, "m_stats"))
 
 
 def _beside(rows: DataFrame, plan: list[tuple], schema: str) -> DataFrame:
@@ -177,10 +190,12 @@ def mix_sources(
     """(id, size, source_size, target, taken, source) of every row.
 
     ``weights`` repeat over the sources in code-point order. Totals and cuts per
-    source are all that reaches the driver.
+    source, and counts of vote patterns, are all that reaches the driver. Texts are
+    read once.
     """
-    rows = _with_key(pick(docs, id_col, text_col, source_col).toDF("m_id", "m_text", "m_source"), "m_id", "m_text", seed)
-    keyed = stored(rows.select("m_id", "m_source", "m_size", "m_key"), "mixing")
+    rows = _drawn(pick(docs, id_col, text_col, source_col).toDF("m_id", "m_text", "m_source"), "m_id", "m_text", seed)
+    drawn = stored(rows.select("m_id", "m_source", "m_stats", "m_draw"), "mixing")
+    keyed = _keyed(drawn, fit_rules(drawn, RULES, "m_stats"))
     return _taken(keyed, plan_mix(keyed, weights, share, most)).select(
         F.col("m_id").alias(id_col),
         F.col("m_size").alias("size"),
@@ -212,9 +227,11 @@ def mixed_corpus(
     places = [f"c{i}" for i in range(len(docs.columns))]
     text = places[docs.columns.index(text_col)]
     rows = docs.toDF(*places).withColumn("m_source", F.col(places[docs.columns.index(source_col)]))
-    rows = _with_key(rows, places[docs.columns.index(id_col)], text, seed)
-    keyed = stored(rows.select("m_source", "m_size", "m_key"), "mixing")
-    plan = plan_mix(keyed, weights, share, most)
+    rows = _drawn(rows, places[docs.columns.index(id_col)], text, seed)
+    drawn = stored(rows.select("m_source", "m_stats", "m_draw"), "mixing")
+    model = fit_rules(drawn, RULES, "m_stats")
+    plan = plan_mix(_keyed(drawn, model), weights, share, most)
+    rows = _keyed(rows, model)
     if whole:
         told = _whole(rows, plan, places).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
         return told.select(*places).toDF(*docs.columns)

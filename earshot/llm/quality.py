@@ -95,6 +95,11 @@ def _stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
 
 
+def text_statistics(text: Column | str) -> Column:
+    """A struct of the STATS of a text."""
+    return _stats(text)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A named rule: SQL conditions for a bad and for a good vote, else it abstains."""
