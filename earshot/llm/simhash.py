@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pick, stored
+from .common import cut, dealt, pick, stored
 from .graph import components
 
 SEED = 42
@@ -164,7 +164,7 @@ def near_links(nodes: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFra
     homes = copies.where("home").select("anchor", F.col("fp").alias("a"))
     visitors = copies.select("anchor", F.col("fp").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return homes.join(visitors, (homes.anchor == visitors.anchor) & close).select("a", "b")
+    return homes.join(dealt(visitors), (homes.anchor == visitors.anchor) & close).select("a", "b")
 
 
 def simhash_components(
@@ -174,12 +174,12 @@ def simhash_components(
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "simhash")
     nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     labels = components(near_links(nodes.select("fp"), threshold))
-    marked = nodes.join(labels, F.col("fp") == F.col("node"), "left").select(
+    marked = nodes.join(dealt(labels), F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("label", "fp").alias("label")
     )
     least = marked.groupBy("label").agg(F.min("least").alias("component_id"))
     named = marked.join(least, "label").select(F.col("fp").alias("c_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("c_fp")).select(id_col, "fp", "component_id")
+    return prints.join(dealt(named), F.col("fp") == F.col("c_fp")).select(id_col, "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
