@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, stored
+from .common import cut, dealt, stored
 from .graph import components
 from .simhash import SEED, fingerprint_of, near_links, shingle_hashes
 
@@ -270,7 +270,7 @@ def _sets_of(hashes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 0.8 at least."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _sets_of(nodes.join(ends, "node", "left_semi").select("hash"), rows, size)
+    sets = _sets_of(nodes.join(dealt(ends), "node", "left_semi").select("hash"), rows, size)
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -281,7 +281,7 @@ def _labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return lists.withColumn("label", F.col("node"))
     labels = components(links).select(F.col("node").alias("at"), "label")
-    return lists.join(labels, F.col("node") == F.col("at"), "left").select(*lists.columns, F.coalesce("label", "node").alias("label"))
+    return lists.join(dealt(labels), F.col("node") == F.col("at"), "left").select(*lists.columns, F.coalesce("label", "node").alias("label"))
 
 
 def _pair(a: str, b: str) -> list:
@@ -292,9 +292,9 @@ def print_pairs(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     """(a, b): each node of ``nodes`` (node, fp) beside the representative of its SimHash group."""
     prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     labels = components(near_links(prints.select("fp"), threshold)).select(F.col("node").alias("at"), "label")
-    named = prints.join(labels, F.col("fp") == F.col("at"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    heads = stored(named.groupBy("label").agg(F.min("first").alias("head")).join(named, "label").select(F.col("fp").alias("h_fp"), "head"), "heads")
-    beside = nodes.join(heads, F.col("fp") == F.col("h_fp")).where("node <> head")
+    named = prints.join(dealt(labels), F.col("fp") == F.col("at"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    heads = stored(named.groupBy("label").agg(F.min("first").alias("head")).join(dealt(named), "label").select(F.col("fp").alias("h_fp"), "head"), "heads")
+    beside = nodes.join(dealt(heads), F.col("fp") == F.col("h_fp")).where("node <> head")
     return beside.select(*_pair("node", "head"))
 
 
@@ -310,9 +310,9 @@ def meeting(told: DataFrame, one: DataFrame) -> DataFrame:
     mine = told.select("token", "n", "place").distinct().withColumn("band", band("n"))
     theirs = one.select("token", "m", "o_place").distinct().withColumn("band", F.explode(F.array(*[band("m") + k for k in (-1, 0, 1)])))
     most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("o_place"))
-    fits = mine.join(theirs, ["token", "band"]).where(9 * most >= 4 * (F.col("n") + F.col("m"))).drop("band")
+    fits = mine.join(dealt(theirs), ["token", "band"]).where(9 * most >= 4 * (F.col("n") + F.col("m"))).drop("band")
     fits = stored(fits, "shapes")
-    return told.join(fits, ["token", "n", "place"]).join(one, ["token", "m", "o_place"])
+    return told.join(dealt(fits), ["token", "n", "place"]).join(dealt(one), ["token", "m", "o_place"])
 
 
 def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -321,7 +321,7 @@ def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int
     Of the ``rows`` (mark, text), ``nodes.hash`` is the mark of one row a node.
     """
     other = {"node": "other", "n": "m", "place": "o_place", "odd": "o_odd", "label": "o_label"}
-    lists = stored(lists.join(nodes.select("node", "odd"), "node"), "lists")
+    lists = stored(lists.join(dealt(nodes.select("node", "odd")), "node"), "lists")
     # enough is left if no shingle before this one is shared, and the sizes fit
     most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("o_place"))
     sizes = F.col("n") + F.col("m")
@@ -337,7 +337,7 @@ def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int
             one = told.groupBy("token").agg(F.min(draw).alias("o"))
             one = stored(one.select("token", *[F.col(f"o.{a}").alias(b) for a, b in other.items()]), "ones")
             best = F.min(F.struct((differ / sizes).alias("apart"), F.xxhash64("other").alias("tie"), "other")).alias("best")
-            pairs = told.join(one, "token").where(fit).groupBy("node").agg(best).select(*_pair("node", "best.other"))
+            pairs = told.join(dealt(one), "token").where(fit).groupBy("node").agg(best).select(*_pair("node", "best.other"))
             if k == 0:
                 pairs = pairs.union(print_pairs(nodes))
             pairs = pairs.distinct()
@@ -346,11 +346,11 @@ def similar_links(lists: DataFrame, rows: DataFrame, nodes: DataFrame, size: int
                 F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")
             )
             main = stored(main.where("labels > 1").select("token", F.col("main.label").alias("main")), "main")
-            one = told.join(main, "token").where(F.col("label") != F.col("main"))
+            one = told.join(dealt(main), "token").where(F.col("label") != F.col("main"))
             one = stored(one.select("token", *[F.col(a).alias(b) for a, b in other.items()]), "apart")
             pairs = meeting(told, one).where(fit).select(*_pair("node", "other")).distinct()
         if met:  # no pair is held against its sets twice
-            pairs = pairs.join(reduce(DataFrame.union, met), ["a", "b"], "left_anti")
+            pairs = pairs.join(dealt(reduce(DataFrame.union, met)), ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidates")
         met.append(pairs)
         found.append(cut(_similar(pairs, nodes, rows, size)))
@@ -377,11 +377,11 @@ def without_near_copies(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc
     lists = _lists(marks.select("hash"), rows, counters, size)
     links = similar_links(lists, rows, marks, size)
     labels = components(links).select(F.col("node").alias("at"), "label")
-    marked = nodes.join(labels, F.col("node") == F.col("at"), "left")
+    marked = nodes.join(dealt(labels), F.col("node") == F.col("at"), "left")
     least = marked.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))
     stay = stored(least.select(F.col("least.id").alias("s_id"), F.col("least.hash").alias("s_hash")), "stay")
     same = F.col(at_id).eqNullSafe(F.col("s_id")) & (F.xxhash64(at_text) == F.col("s_hash"))
-    left = flat.join(stay, same, "left_semi")
+    left = flat.join(dealt(stay), same, "left_semi")
     twice = prints.groupBy("id", "hash").count().where("count > 1")
     if not twice.isEmpty():  # of rows that share id and text the first by all their columns stays
         told = left.withColumns({"told": F.to_json(F.struct(*places)), "hash": text_hash})

@@ -7,6 +7,7 @@ import pytest
 
 from earshot.llm.common import stored
 from earshot.llm.graph import components
+from earshot.llm.near_copies import meeting
 from earshot.llm.simhash import near_links
 
 
@@ -23,6 +24,14 @@ def test_replicas_of_fingerprints_are_not_broadcast(spark, n):
     assert {tuple(r) for r in links.collect()} >= {(min(p, p ^ 5), max(p, p ^ 5)) for p in prints}
 
 
+def test_members_of_lists_are_not_broadcast(spark):
+    told = spark.createDataFrame([(1, 5, 10, 0), (1, 6, 10, 1)], "token long, node long, n int, place int")
+    one = told.toDF("token", "other", "m", "o_place")
+    pairs = meeting(told, one)
+    assert "Broadcast" not in _plan(pairs)
+    assert pairs.count() == 4
+
+
 def test_labels_of_components_stay_right(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8)], "a long, b long")
     assert {tuple(r) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
