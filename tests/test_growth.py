@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from earshot.operators import blocks, csr
+from earshot.operators import blocks, csr, walks
 from earshot.operators.edges import Graph, Lazy
-from earshot.plans import queries
+from earshot.plans import pipelines, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,25 @@ def test_events_of_all_relations_are_numbered_once(spark):
 def test_played_pairs_are_counted_once(spark):
     pairs, _ = queries._pairs(spark, SF)
     assert all("/played-" in f for f in pairs.inputFiles())
+
+
+def test_negative_walks_are_dealt_to_tasks_by_their_number(spark):
+    starts = spark.range(3).toDF("node_id").coalesce(1)
+    counts = {"user": 20_000, "artist": 5, "genre": 2}  # 20,000 starts make 5,400,000 rows
+    path = walks.metapath(["artist"])
+    for make in (walks.negative_walks, walks.negative_arrays):
+        assert make(starts, counts, path, 8, 3, 10).rdd.getNumPartitions() == 6
+    rows = walks.negative_walks(starts, counts, path, 8, 3, 10)
+    arrays = walks.negative_arrays(starts, counts, path, 8, 3, 10)
+    arrays = arrays.select("walk_id", "negative", F.posexplode("nodes").alias("step", "node")).select("walk_id", "negative", "step", "node.*")
+    assert rows.count() == 3 * 3 * 10 * 9 and rows.exceptAll(arrays).isEmpty()
+
+
+def test_nodes_are_counted_without_numbering_them(spark, monkeypatch):
+    def numbered(*_):
+        raise AssertionError("nodes are numbered")
+
+    monkeypatch.setattr(pipelines, "numbered", numbered)
+    counts = {r.node_type: r.n for r in queries.node_counts(spark, SF).collect()}
+    assert set(counts) == {"user", "artist", "album", "track", "genre"}
+    assert queries.negative_walks(spark, SF).count() == counts["user"] * 3 * 10 * 9
