@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from earshot.functions.schemas import typed
 from earshot.operators import blocks, csr, walks
 from earshot.operators.edges import Graph, Lazy
 from earshot.plans import pipelines, queries
@@ -80,3 +83,17 @@ def test_nodes_are_counted_without_numbering_them(spark, monkeypatch):
     counts = {r.node_type: r.n for r in queries.node_counts(spark, SF).collect()}
     assert set(counts) == {"user", "artist", "album", "track", "genre"}
     assert queries.negative_walks(spark, SF).count() == counts["user"] * 3 * 10 * 9
+
+
+def test_texts_of_events_are_parsed_once(spark):
+    plan = queries._table(spark, SF, "le")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") == 5  # once a column, none below the joins that make the texts
+
+
+def test_integers_are_read_as_by_the_pattern(spark):
+    texts = ["5", "-5", "+5", "05", "-0", "1.5", "1.", " 5 ", "\t5", "5\n", "\n5", "5\r\n", "", "-", "x5", "1e3", "5 5", "5\x00", None]
+    texts += [str(2**63 - 1), str(2**63), str(-(2**63)), "0" * 22 + "7"]
+    want = [int(t) if t is not None and re.search("^[+-]?[0-9]+$", t.strip(" ").replace("\r\n", "\n")) and abs(int(t)) <= 2**63 - (t[0] != "-") else None for t in texts]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, user_id string")
+    assert {int(r.k): r.user_id for r in typed(df).collect()} == dict(enumerate(want))
+    assert typed(df).columns == ["k", "user_id"] and typed(df.select("k")).columns == ["k"]
