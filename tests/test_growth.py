@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from earshot.functions.schemas import typed
 from earshot.operators import blocks, csr, walks
 from earshot.operators.edges import Graph, Lazy
 from earshot.plans import pipelines, queries
+from earshot.sources.staging import FREES, staged, staged_within, staging_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +100,63 @@ def test_integers_are_read_as_by_the_pattern(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, user_id string")
     assert {int(r.k): r.user_id for r in typed(df).collect()} == dict(enumerate(want))
     assert typed(df).columns == ["k", "user_id"] and typed(df.select("k")).columns == ["k"]
+
+
+def test_training_keeps_the_last_vectors_only(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CELL_PAIRS", 20_000)
+    graph = queries._graph(spark, SF)
+    with staged_within(spark):
+        folder = staging_dir(spark).removeprefix("file:")
+        found = pipelines.embed_graph(graph, length=8, epochs=2)
+        assert found.count() == graph.node_table().count()
+        kept = [re.sub("-[0-9a-f]{32}$", "", name) for name in os.listdir(folder)]
+    # of the walks no adjacency, of the pairs none but those in cells, of the rounds none but the last
+    assert kept.count("vectors") == kept.count("cells") == kept.count("walks") == 1
+    assert not {"pairs", "ranges", "chunks", "offsets", "asked", "walk"} & set(kept)
+
+
+def test_what_a_write_has_shuffled_is_deleted(spark):
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before, option = shuffled(), spark.conf.get(FREES)
+    table = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(100):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and spark.conf.get(FREES) == option and table.count() == 7
+
+
+def test_pairs_are_counted_from_the_lengths_of_walks(spark):
+    nodes = [("user", k) for k in range(12)]
+    df = spark.createDataFrame([(k, nodes[:k]) for k in range(13)], "walk_id long, nodes array<struct<node_type: string, node_id: long>>")
+    for window, length in ((3, 6), (7, 8), (7, 11), (9, 6)):
+        n = df.agg(F.sum(walks.n_contexts(F.size("nodes").cast("long"), window, length))).first()[0]
+        assert n == walks.contexts(df.where(F.size("nodes") <= length + 1), window, length).count() + sum(
+            walks.contexts(df.where(F.col("walk_id") == k), window, length).count() for k in range(length + 2, 13)
+        )
+
+
+def test_repeated_pairs_are_packed_once(spark):
+    rows = [("user", 1, "artist", b, 1) for b in (5, 3, 5, 9, 5)] + [("user", 1, "artist", 5, 0), ("user", None, "artist", 5, 0)]
+    pairs = spark.createDataFrame(rows, "a_type string, a_id long, b_type string, b_id long, label int").repartition(3)
+    found = blocks.dealt_pairs(pairs, 1).collect()
+    got = sorted((r.label, r.a, r.b, r.times, r.n) for r in found)
+    assert got == [(0, [1], [5], [1], 1), (1, [1, 1, 1], [3, 5, 9], [1, 3, 1], 5)]
+
+
+def test_rows_of_many_pairs_are_cut(monkeypatch):
+    monkeypatch.setattr(blocks, "ROW_PAIRS", 2)
+    ends = {"cell": [0] * 3, "a_type": ["user"] * 3, "a_id": [1, 1, 2], "b_type": ["user"] * 3, "b_id": [4, 4, 3], "label": [1] * 3}
+    packed = pa.Table.from_batches([blocks._packed(pa.table(ends)), blocks._packed(pa.table(ends | {"b_id": [5, 4, 3]}))])
+    told = blocks._merged(packed.add_column(0, "round", pa.array([0, 0])).add_column(1, "slot", pa.array([7, 7])))
+    assert [(r["slot"], r["a"], r["b"], r["times"], r["n"]) for r in told.to_pylist()] == [(7, [1, 1], [4, 5], [3, 1], 4), (7, [2], [3], [2], 2)]
+
+
+def test_cells_of_a_round_take_different_buckets(spark):
+    keys = blocks.slot_keys(spark, 5, 12)
+    assert len(set(keys)) == len(keys) >= 12
+    table = spark.createDataFrame([(k,) for k in keys[:10]], "slot long").repartition(5, "slot")
+    assert sorted(r.n for r in table.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) == [2] * 5
